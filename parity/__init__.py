@@ -1,5 +1,5 @@
 """Registered queries over the driver tables, each with its DuckDB counterpart."""
 
-from parity import annotation, catalog
+from parity import annotation, catalog, pages
 
-REGISTRY = {**catalog.QUERIES, **annotation.QUERIES}
+REGISTRY = {**catalog.QUERIES, **annotation.QUERIES, **pages.QUERIES}
