@@ -83,7 +83,9 @@ PAGE_URL = f"concat('https://venues.example.org/?journalid=', {_KEY}, '&view=det
 
 
 def detail_pages(spark, sf):
-    return d.table(spark, sf, "part").selectExpr(
+    # Parts are a few bytes and their pages some kilobytes: spread the parts first.
+    parts = d.table(spark, sf, "part").repartition(spark.sparkContext.defaultParallelism)
+    return parts.selectExpr(
         "p_partkey as page_id", f"{PAGE_URL} as url", f"{PAGE_HTML} as html")
 
 

@@ -92,7 +92,7 @@ def by_ids(entries: DataFrame, ids: DataFrame, id_column: str = "id") -> DataFra
 
 
 def is_blocked_page(html: Column) -> Column:
-    return html.rlike("|".join(BLOCKED_PHRASES))
+    return reduce(lambda a, b: a | b, (html.contains(phrase) for phrase in BLOCKED_PHRASES))
 
 
 def is_unusable_page(html: Column, min_chars: int = MIN_PAGE_CHARS) -> Column:

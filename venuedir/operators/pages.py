@@ -1,8 +1,8 @@
 """Attributes of venues from a table of raw pages ``(page_id, url, html)``.
 
-One scan, built-in expressions only. Sections are cut by character counts before
-they are searched, and patterns that start at a fixed text are tried at its first
-occurrence only (atomic prefix), so a page without the rest costs one pass.
+One scan, built-in expressions only. Sections are cut out as columns before they are
+searched, and a pattern that starts at a fixed text is tried at its first occurrence
+only, so every search is linear in the page.
 """
 
 from __future__ import annotations
@@ -52,11 +52,12 @@ RANKING_WORDS = ["大类", "小类", "学科"]
 JIF_HEADER, JIF_CHARS = "按JIF指标学科分区", 3000
 JCI_HEADER, JCI_CHARS = "按JCI指标学科分区", 2000
 
-_NAME = r'(?s)\A(?>.*?期刊名字</span>).*?alt="([^"]+)"'
-_H_INDEX = rf"(?is)\A(?>.*?h-index).*?</td>{WS}*<td[^>]*>{WS}*(\d+){WS}*<"
-_ARTICLES = rf'(?is)\A(?>.*?<td[^>]*>年文章数).*?</td>{WS}*<td[^>]*colspan="2"[^>]*>(.*?)</td>'
-_SCORE = r"(?is)\A(?>.*?LetPub评分).*?font-size:24px[^>]*>([\d.]+)"
-_JCR_ZONE = r"(?is)\A(?>.*?WOS分区等级[：:]*).*?<span[^>]*>(\d)区</span>"
+# Fields behind a fixed text: (the text, the rest of the pattern).
+_NAME = ("期刊名字</span>", r'.*?alt="([^"]+)"')
+_H_INDEX = ("(?i)h-index", rf".*?</td>{WS}*<td[^>]*>{WS}*(\d+){WS}*<")
+_ARTICLES = ("(?i)<td[^>]*>年文章数", rf'.*?</td>{WS}*<td[^>]*colspan="2"[^>]*>(.*?)</td>')
+_SCORE = ("(?i)LetPub评分", r".*?font-size:24px[^>]*>([\d.]+)")
+_JCR_ZONE = ("(?i)WOS分区等级[：:]*", r".*?<span[^>]*>(\d区)</span>")
 _DATA_ROW = r"(?s)\A(?>.*?</tr>)(?>.*?(?=<tr))(<tr.*?</tr>)"
 _NUMBER_CELL = rf"(?i)<td[^>]*>{WS}*([\d.]+){WS}*</td>"
 _SMALL_CELL = r'<td[^>]*style="padding:4px;">(.*?)</td>'
@@ -104,16 +105,27 @@ def _window(html: Column, header: str, chars: int) -> Column:
     return F.when(at > 0, F.substring(html, at, F.lit(chars)))
 
 
-def _guarded(html: Column, word: str, pattern: str) -> Column:
-    """``regexp_extract`` that skips pages without ``word``."""
-    return F.when(html.contains(word), F.regexp_extract(html, pattern, 1)).otherwise("")
+def _behind(html: Column, field: tuple[str, str], word: str = "") -> Column:
+    """First group of a field's pattern, ``''`` when it does not match.
+
+    The page is cut at the first occurrence of the fixed text. If the lazy rest does
+    not match from there it matches from no later occurrence, so one try decides.
+    Pages without ``word`` are skipped.
+    """
+    start, rest = field
+    tail = F.regexp_extract(html, f"(?s){start}.*", 0)
+    found = F.regexp_extract(tail, rf"(?is)\A(?:{start}){rest}", 1)
+    return F.when(html.contains(word), found).otherwise("") if word else found
 
 
 def _records(text: Column, pattern: str, names: list[str]) -> Column:
-    """All matches of a pattern as an array of structs, one field per group."""
-    groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)).alias(n)
-              for i, n in enumerate(names)]
-    return F.arrays_zip(*groups)
+    """All matches of a pattern as an array of structs, one field per group.
+
+    The section is searched once; the groups are read from the short matches.
+    """
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.transform(matches, lambda m: F.struct(
+        *[F.regexp_extract(m, pattern, i + 1).alias(n) for i, n in enumerate(names)]))
 
 
 def citescore_row(html: Column) -> Column:
@@ -127,9 +139,13 @@ def citescore_numbers(row: Column) -> Column:
     return F.regexp_extract_all(row, F.lit(_NUMBER_CELL), F.lit(1))
 
 
-def citescore_rankings(html: Column, row: Column) -> Column:
-    """Ranking triples whose category names a subject class; none without a data row."""
-    section = F.when(row != "", _window(html, RANKING_HEADER, RANKING_CHARS))
+def ranking_section(html: Column, row: Column) -> Column:
+    """Text of the CiteScore rankings; NULL on pages without a CiteScore data row."""
+    return F.when(row != "", _window(html, RANKING_HEADER, RANKING_CHARS))
+
+
+def citescore_rankings(section: Column) -> Column:
+    """Ranking triples of a section whose category names a subject class."""
     triples = _records(section, _RANKING_ROW, ["category", "zone", "rank"])
     stripped = F.transform(triples, lambda r: F.struct(
         *[strip_markup(r[n]).alias(n) for n in ("category", "zone", "rank")]))
@@ -137,7 +153,19 @@ def citescore_rankings(html: Column, row: Column) -> Column:
     return F.coalesce(kept, F.array().cast(schema.CITESCORE_RANKINGS))
 
 
-def _subject_rankings(section: Column) -> Column:
+def jif_section(html: Column) -> Column:
+    """Text of the JIF rankings, which ends where a later JCI section begins."""
+    jif, jci = F.instr(html, JIF_HEADER), F.instr(html, JCI_HEADER)
+    chars = F.when(jci > jif, jci - jif).otherwise(JIF_CHARS)
+    return F.when(jif > 0, F.substring(html, jif, chars))
+
+
+def jci_section(html: Column) -> Column:
+    return _window(html, JCI_HEADER, JCI_CHARS)
+
+
+def subject_rankings(section: Column) -> Column:
+    """Ranking rows of a JIF or JCI section."""
     rows = _records(section, _SUBJECT_ROW, ["subject", "subset", "quartile", "rank"])
     trimmed = F.transform(rows, lambda r: F.struct(
         trim_space(r["subject"]).alias("subject"), r["subset"].alias("subset"),
@@ -145,24 +173,12 @@ def _subject_rankings(section: Column) -> Column:
     return F.coalesce(trimmed, F.array().cast(schema.SUBJECT_RANKINGS))
 
 
-def jif_rankings(html: Column) -> Column:
-    """Rows of the JIF section, which ends where a later JCI section begins."""
-    jif, jci = F.instr(html, JIF_HEADER), F.instr(html, JCI_HEADER)
-    chars = F.when(jci > jif, jci - jif).otherwise(JIF_CHARS)
-    return _subject_rankings(F.when(jif > 0, F.substring(html, jif, chars)))
-
-
-def jci_rankings(html: Column) -> Column:
-    return _subject_rankings(_window(html, JCI_HEADER, JCI_CHARS))
-
-
 def venue_name(html: Column) -> Column:
-    return _guarded(html, "期刊名字", _NAME)
+    return _behind(html, _NAME, "期刊名字")
 
 
 def jcr_zone(html: Column) -> Column:
-    digit = _guarded(html, "分区等级", _JCR_ZONE)
-    return F.when(digit != "", F.concat(digit, F.lit("区"))).otherwise("")
+    return _behind(html, _JCR_ZONE, "分区等级")
 
 
 def reject_reason(html: Column, min_chars: int = MIN_PAGE_CHARS) -> Column:
@@ -190,14 +206,19 @@ def extract_text(pages: DataFrame, min_chars: int = MIN_PAGE_CHARS) -> DataFrame
     staged = pages.withColumn("reject_reason", reject_reason(html, min_chars))
     staged = _with_label_cells(with_partitions(staged))
     staged = staged.withColumn("_citescore_row", citescore_row(html))
-    staged = staged.withColumn("_numbers", citescore_numbers(F.col("_citescore_row")))
+    staged = staged.withColumns({
+        "_numbers": citescore_numbers(F.col("_citescore_row")),
+        "_ranking_section": ranking_section(html, F.col("_citescore_row")),
+        "_jif_section": jif_section(html),
+        "_jci_section": jci_section(html),
+    })
 
     def number(i: int) -> Column:
         three = F.size("_numbers") >= 3
         return F.when(three, F.get(F.col("_numbers"), F.lit(i))).otherwise("")
 
     before_span = F.regexp_extract(_cell("impact_factor"), r"(?is)\A(.*?)(?:span|\z)", 1)
-    articles = _guarded(html, "年文章数", _ARTICLES)
+    articles = _behind(html, _ARTICLES, "年文章数")
     fields = {
         "journalid": F.regexp_extract("url", r"journalid=(\d+)", 1),
         "letpub_url": F.col("url"),
@@ -212,7 +233,7 @@ def extract_text(pages: DataFrame, min_chars: int = MIN_PAGE_CHARS) -> DataFrame
         "realtime_if": _realtime(_cell("realtime_if")),
         "five_year_if": first_number(_cell("five_year_if")),
         "jci_value": first_number(_cell("jci_value")),
-        "h_index": F.regexp_extract(html, _H_INDEX, 1),
+        "h_index": _behind(html, _H_INDEX),
         "cite_score": number(0),
         "sjr": number(1),
         "snip": number(2),
@@ -220,11 +241,11 @@ def extract_text(pages: DataFrame, min_chars: int = MIN_PAGE_CHARS) -> DataFrame
         "review_speed": drop_label(_cell("review_speed"), SHARED_EXPERIENCE),
         "acceptance_rate": drop_label(_cell("acceptance_rate"), SHARED_EXPERIENCE),
         "article_count": F.regexp_extract(articles, rf"\A{WS}*(\d+)", 1),
-        "letpub_score": _guarded(html, "评分", _SCORE),
+        "letpub_score": _behind(html, _SCORE, "评分"),
         "wos_zone": jcr_zone(html),
-        "jif": jif_rankings(html),
-        "jci_json": jci_rankings(html),
-        "citescore_rankings": citescore_rankings(html, F.col("_citescore_row")),
+        "jif": subject_rankings(F.col("_jif_section")),
+        "jci_json": subject_rankings(F.col("_jci_section")),
+        "citescore_rankings": citescore_rankings(F.col("_ranking_section")),
     }
     return staged.select("page_id", *[c.alias(n) for n, c in fields.items()], *VERSIONS,
                          "partition_tables", "reject_reason")

@@ -1,9 +1,9 @@
 """Partition tables of a venue page: up to three, told apart by position.
 
 Cells hold nested tables, so a cell ends where its own tag is balanced, which no
-regular expression finds. The row is cut into tags and text between tags, and a
-fold over those tokens counts the depth; each fold is linear in the row. It all
-stays in built-in expressions, so page text never leaves the JVM.
+regular expression finds. The row is cut in front of every tag, each piece becomes
++1, -1 or 0, and a fold over those numbers finds the balance; each fold is linear in
+the row. It all stays in built-in expressions, so page text never leaves the JVM.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ VERSIONS = ["xinrui", "cas2025", "cas2023"]
 LAST_SECTION_CHARS = 5000
 CELLS_NEEDED = 4
 
-_ROW_TOKEN = r"(?i)<tr|</tr>|[^<]+|<"
-_CELL_TOKEN = r"(?i)<td[^>]*>|</td>|[^<]+|<"
-_PARTITION_CELL = rf"(?i)\A<td[^>]*padding:{WS}*8px"
+# Cuts in front of tags, and the tags that open and close a level.
+_ROW_CUT, _ROW_OPEN, _ROW_CLOSE = r"(?i)(?=<tr)|(?=</tr>)", r"(?i)\A<tr", r"(?i)\A</tr>"
+_CELL_CUT, _CELL_OPEN, _CELL_CLOSE = (
+    r"(?i)(?=<td[^>]*>)|(?=</td>)", r"(?i)\A<td[^>]*>", r"(?i)\A</td>")
+_PARTITION_CELL = rf"(?i)\A<td[^>]*padding:{WS}*8px[^>]*>"
 _CATEGORY_CELL = r'(?is)<td[^>]*style="padding:4px;">(.*?)</td>'
 _ZONE_SPAN = r'(?i)<span[^>]*style="([^"]*)"[^>]*>(\d)区</span>'
 _HIDDEN = "display: ?none"
@@ -39,19 +41,24 @@ def visible_zone(html: Column) -> Column:
     return F.coalesce(F.concat(shown, F.lit("区")), F.lit(""))
 
 
-def _balanced(tokens: Column, depth: int, opens: str, closes: str) -> Column:
-    """How many tokens it takes until the depth returns to zero; NULL if it never does."""
-    start = F.struct(F.lit(depth).alias("depth"), F.lit(0).alias("taken"), F.lit(False).alias("done"))
+def _levels(pieces: Column, opens: str, closes: str) -> Column:
+    """What each piece does to the nesting depth."""
+    return F.transform(pieces, lambda piece: F.when(piece.rlike(opens), 1)
+                       .when(piece.rlike(closes), -1).otherwise(0))
 
-    def step(acc: Column, token: Column) -> Column:
-        text = F.lower(F.substring(token, 1, 5))
-        change = F.when(text == closes, -1).when(text.startswith(opens), 1).otherwise(0)
-        level = acc["depth"] + change
-        closed = (text == closes) & (level == 0)
-        return F.when(acc["done"], acc).otherwise(F.struct(
-            level.alias("depth"), (acc["taken"] + 1).alias("taken"), closed.alias("done")))
 
-    return F.aggregate(tokens, start, step, lambda acc: F.when(acc["done"], acc["taken"]))
+def _balanced(levels: Column, depth: int) -> Column:
+    """How many pieces it takes until the depth returns to zero; NULL if it never does."""
+    start = F.struct(F.lit(depth).alias("depth"), F.lit(0).alias("taken"))
+
+    def step(acc: Column, level: Column) -> Column:
+        # A depth of zero behind at least one piece is final.
+        open_still = (acc["depth"] != 0) | (acc["taken"] == 0)
+        return F.when(open_still, F.struct(
+            (acc["depth"] + level).alias("depth"), (acc["taken"] + 1).alias("taken"))).otherwise(acc)
+
+    return F.aggregate(levels, start, step,
+                       lambda acc: F.when((acc["depth"] == 0) & (acc["taken"] > 0), acc["taken"]))
 
 
 def sections(html: Column) -> Column:
@@ -84,31 +91,41 @@ def with_partitions(pages: DataFrame, html: str = "html") -> DataFrame:
         c: F.regexp_extract(_section(parts, i + 1), r"(?s)\A(?>.*?</tr>).*?(<tr.*)\z", 1)
         for i, c in enumerate(_columns("tail"))})
     staged = staged.withColumns({
-        c: F.regexp_extract_all(F.col(t), F.lit(_ROW_TOKEN), F.lit(0))
-        for c, t in zip(_columns("rows"), _columns("tail"))})
+        c: F.split(F.col(t), _ROW_CUT) for c, t in zip(_columns("rows"), _columns("tail"))})
+    staged = staged.withColumns({
+        c: _first_row(F.col(r)) for c, r in zip(_columns("row"), _columns("rows"))})
     staged = staged.withColumns({
-        c: F.array_join(F.slice(F.col(t), F.lit(1), _balanced(F.col(t), 0, "<tr", "</tr>")), "")
-        for c, t in zip(_columns("row"), _columns("rows"))})
+        c: F.split(F.col(r), _CELL_CUT) for c, r in zip(_columns("pieces"), _columns("row"))})
     staged = staged.withColumns({
-        c: F.regexp_extract_all(F.col(r), F.lit(_CELL_TOKEN), F.lit(0))
-        for c, r in zip(_columns("tokens"), _columns("row"))})
-    staged = staged.withColumns({c: _partition_cells(F.col(t))
-                                 for c, t in zip(_columns("cells"), _columns("tokens"))})
+        c: _levels(F.col(t), _CELL_OPEN, _CELL_CLOSE)
+        for c, t in zip(_columns("levels"), _columns("pieces"))})
+    staged = staged.withColumns({
+        c: _partition_cells(F.col(t), F.col(n))
+        for c, t, n in zip(_columns("cells"), _columns("pieces"), _columns("levels"))})
     staged = staged.withColumns({version: _partition(F.col(c), F.col(r))
                                  for version, c, r in zip(VERSIONS, _columns("cells"), _columns("row"))})
     return staged.select(*pages.columns, *VERSIONS,
                          F.least(F.size(parts) - 1, F.lit(len(VERSIONS))).alias("partition_tables"))
 
 
-def _partition_cells(tokens: Column) -> Column:
+def _first_row(pieces: Column) -> Column:
+    """The balanced row at the start, without its closing tag; NULL when it stays open."""
+    taken = _balanced(_levels(pieces, _ROW_OPEN, _ROW_CLOSE), 0)
+    return F.array_join(F.slice(pieces, F.lit(1), taken - 1), "")
+
+
+def _partition_cells(pieces: Column, levels: Column) -> Column:
     """Contents of the first four partition cells; NULL entries are unbalanced cells."""
     at = F.filter(
-        F.transform(tokens, lambda t, i: F.when(t.rlike(_PARTITION_CELL), i)), lambda i: i.isNotNull())
+        F.transform(pieces, lambda piece, i: F.when(piece.rlike(_PARTITION_CELL), i)),
+        lambda i: i.isNotNull())
 
     def content(i: Column) -> Column:
-        rest = F.slice(tokens, i + 2, F.greatest(F.size(tokens) - i - 1, F.lit(0)))
-        taken = _balanced(rest, 1, "<td", "</td>")
-        return F.array_join(F.slice(tokens, i + 2, taken - 1), "")
+        # Piece i is the opening tag with the text behind it; its close is piece i + taken.
+        rest = F.slice(levels, i + 2, F.size(levels))
+        head = F.regexp_replace(F.get(pieces, i), _CELL_OPEN, "")
+        inner = F.slice(pieces, i + 2, _balanced(rest, 1) - 1)
+        return F.concat(head, F.array_join(inner, ""))
 
     return F.transform(F.slice(at, 1, CELLS_NEEDED), content)
 

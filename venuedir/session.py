@@ -6,6 +6,9 @@ tuned with :func:`tune` and keeps whatever its operator set explicitly.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Runtime settings and why each one is wanted.
@@ -40,3 +43,28 @@ def local_session(cores: int | str = 8, app_name: str = "venuedir") -> SparkSess
         .config("spark.driver.bindAddress", "127.0.0.1")
         .getOrCreate()
     )
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, which every executor can reach.
+
+    Where the setting is missing, a local session (tests) gets a temporary folder;
+    a cluster has to name one, because its machines share no local disk.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        base = _local_dir()
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+_LOCAL: list[str] = []
+
+
+def _local_dir() -> str:
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="venuedir-"))
+    return _LOCAL[0]
