@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from venuedir import schema
 from venuedir.functions.tags import no_tags
 from venuedir.operators.owners import DEVICE, USER, Owner, rows_of
+from venuedir.operators.skew import lookup
 
 
 def _first_per_entry(rows: DataFrame, *order) -> DataFrame:
@@ -90,14 +91,14 @@ def notes_for_entries(notes: DataFrame, owner: Owner, ids: DataFrame) -> DataFra
 def tags_or_empty(requests: DataFrame, favorites: DataFrame) -> DataFrame:
     """Tags of requested (owner, entry) keys; ``[]`` when there is no such favourite."""
     keys = schema.ANNOTATION_KEY
-    found = requests.join(favorites.select(*keys, "tags"), keys, "left")
+    found = lookup(requests, favorites.select(*keys, "tags"), keys)
     return found.withColumn("tags", F.coalesce("tags", no_tags()))
 
 
 def note_or_empty(requests: DataFrame, notes: DataFrame) -> DataFrame:
     """Note of requested (owner, entry) keys; ``''`` when there is none."""
     keys = schema.ANNOTATION_KEY
-    found = requests.join(notes.select(*keys, "content"), keys, "left")
+    found = lookup(requests, notes.select(*keys, "content"), keys)
     return found.withColumn("content", F.coalesce("content", F.lit("")))
 
 
@@ -105,7 +106,7 @@ def is_favorite(requests: DataFrame, favorites: DataFrame) -> DataFrame:
     """Requested (owner, entry) keys with an ``is_favorite`` flag."""
     keys = schema.ANNOTATION_KEY
     marked = favorites.select(*keys).distinct().withColumn("_hit", F.lit(True))
-    return requests.join(marked, keys, "left").select(
+    return lookup(requests, marked, keys).select(
         *requests.columns, F.col("_hit").isNotNull().alias("is_favorite"))
 
 

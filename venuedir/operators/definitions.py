@@ -11,6 +11,7 @@ from venuedir.functions.tags import without_tag
 from venuedir.operators.annotations import tag_uses
 from venuedir.operators.owners import USER
 from venuedir.operators.replay import latest
+from venuedir.operators.skew import lookup
 
 
 def first_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,7 +40,7 @@ def _insert_or_reject(existing: DataFrame, requests: DataFrame, keys: list[str],
     status = (F.when(~valid, "invalid")
               .when(F.col("_winner") == F.col("request_id"), "inserted")
               .otherwise("conflict"))
-    return requests.join(winners, keys, "left").select(*requests.columns, status.alias("status"))
+    return lookup(requests, winners, keys).select(*requests.columns, status.alias("status"))
 
 
 def create_tags(user_tags: DataFrame, requests: DataFrame) -> DataFrame:

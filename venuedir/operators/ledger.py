@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from venuedir.operators.replay import latest
+from venuedir.operators.skew import lookup
 
 DEFAULT_KEY = ("type", "domain", "abbr")
 
@@ -21,7 +22,7 @@ SUCCESS, NOT_FOUND, PARSE_FAILED = "success", "not_found", "parse_failed"
 def with_issn(catalogue: DataFrame, older_metrics: DataFrame, on: str = "abbr") -> DataFrame:
     """Add ``issn`` from older metrics, ``''`` where there is none."""
     metrics = older_metrics.groupBy(on).agg(F.max("issn").alias("_issn"))
-    joined = catalogue.join(metrics, on, "left")
+    joined = lookup(catalogue, metrics, [on])
     return joined.select(*catalogue.columns, F.coalesce("_issn", F.lit("")).alias("issn"))
 
 
@@ -61,7 +62,7 @@ def merge_extracted(catalogue: DataFrame, extracted: DataFrame, on: str = "journ
     """Catalogue fields with the fields read from the page; on a name clash the page wins."""
     shared = [c for c in catalogue.columns if c in extracted.columns and c != on]
     own = catalogue.withColumnsRenamed({c: f"_old_{c}" for c in shared})
-    joined = own.join(extracted, on)
+    joined = lookup(own, extracted, [on], "inner")
     merged = [F.coalesce(F.col(c), F.col(f"_old_{c}")).alias(c) for c in shared]
     rest = [c for c in [*catalogue.columns, *extracted.columns] if c not in shared and c != on]
     return joined.select(on, *merged, *dict.fromkeys(rest))

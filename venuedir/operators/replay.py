@@ -7,6 +7,8 @@ repeated event changes nothing, so replays may overlap.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from venuedir import schema
 from venuedir.functions.tags import no_tags
 from venuedir.functions.text import trim_space
+from venuedir.operators.skew import HOT_ROWS, split_hot, with_chunks
 
 # Fixed values.
 FAV_ADD = "fav_add"
@@ -28,39 +31,68 @@ NOTE_OPS = [NOTE_UPSERT, NOTE_DELETE]
 KEY = schema.ANNOTATION_KEY
 
 
-def _order() -> Column:
-    return F.struct("ts", "event_id")
+def _behind_last_remove(ops: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Operations behind the last remove of each group, and that remove.
+
+    A running count from the newest operation on, so nothing is buffered but the sort.
+    """
+    newest_first = W.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("event_id"))
+    running = newest_first.rowsBetween(W.unboundedPreceding, W.currentRow)
+    removes = F.count_if(F.col("op") == FAV_REMOVE).over(running)
+    counted = ops.withColumn("_removes", removes)
+    last = (F.col("_removes") == 1) & (F.col("op") == FAV_REMOVE)
+    return counted.where((F.col("_removes") == 0) | last).drop("_removes")
+
+
+def _first_add_last_tags(ops: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per group: ``_add`` and ``_tags``, the first add and the last tag operation."""
+    stamped = F.struct("ts", "event_id", "tags")
+    return ops.groupBy(*keys).agg(
+        F.min(F.when(F.col("op") == FAV_ADD, stamped)).alias("_add"),
+        F.max(F.when(F.col("op") == FAV_TAGS, stamped)).alias("_tags"),
+        F.max(F.when(F.col("op") == FAV_REMOVE, stamped)).alias("_remove"),
+    )
+
 
+def _condensed(ops: DataFrame) -> DataFrame:
+    """The same log with at most three operations per key and chunk of consecutive ones.
 
-def replay_favorites(ops: DataFrame) -> DataFrame:
+    Of a run of operations only the last remove, the first add behind it and the last
+    tag operation behind it can matter, whatever comes before or after the run.
+    """
+    keys = [*KEY, "chunk"]
+    chunks = _first_add_last_tags(
+        _behind_last_remove(with_chunks(ops, KEY, ["ts", "event_id"]), keys), keys)
+    parts = F.array(*[
+        F.struct(F.lit(op).alias("op"), F.col(c).isNotNull().alias("_there"), F.col(c).alias("_op"))
+        for op, c in ((FAV_REMOVE, "_remove"), (FAV_ADD, "_add"), (FAV_TAGS, "_tags"))])
+    rows = chunks.select(*KEY, F.inline(parts)).where("_there")
+    return rows.select(*KEY, "op", "_op.ts", "_op.event_id", "_op.tags")
+
+
+def replay_favorites(ops: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Live favourites: ``(owner_kind, owner_id, entry_id, tags, created_at)``.
 
     An add counts only while the favourite is absent, so the first add after the
     last remove is the live one; it dates the row. The newest tag operation behind
     that add sets the tags; earlier ones, and those of absent favourites, do nothing.
+    Among the operations behind the last remove these are the first add and, if it
+    is newer than that add, the last tag operation.
 
-    In mergeable form: (1) the last remove per key, (2) the adds and tag operations
-    behind it, (3) per key the first of those adds and the last of those tag
-    operations. If the last tag operation precedes the first add there is none
-    behind it. Steps 1 and 3 combine before they shuffle, and step 2 is an equi-join
-    whose log side Spark can split when one key holds much of the log; a window
-    over the key could do neither.
+    One shuffle by key; window and aggregate share it. Keys with ``hot_rows``
+    operations or more are condensed in ordered chunks first, so that no task ever
+    holds one of them whole.
     """
-    removed = ops.where(F.col("op") == FAV_REMOVE).select(*KEY, _order().alias("_ord"))
-    last_remove = removed.groupBy(*KEY).agg(F.max("_ord").alias("_last_remove"))
-    kept = ops.where(F.col("op").isin(FAV_ADD, FAV_TAGS)).select(
-        *KEY, "op", "tags", _order().alias("_ord"))
-    live = kept.join(last_remove, KEY, "left").where(
-        F.col("_last_remove").isNull() | (F.col("_ord") > F.col("_last_remove")))
-    stamped = F.struct("_ord", "tags")
-    state = live.groupBy(*KEY).agg(
-        F.min(F.when(F.col("op") == FAV_ADD, stamped)).alias("_add"),
-        F.max(F.when(F.col("op") == FAV_TAGS, stamped)).alias("_tag"),
-    ).where(F.col("_add").isNotNull())
-    retagged = F.col("_tag._ord") > F.col("_add._ord")
-    tags = F.when(retagged, F.col("_tag.tags")).otherwise(F.col("_add.tags"))
+    own = ops.where(F.col("op").isin(FAVORITE_OPS)).select(*KEY, "op", "ts", "event_id", "tags")
+    hot, rest = split_hot(own, KEY, hot_rows)
+    log = rest.unionByName(_condensed(hot))
+    live = _behind_last_remove(log, KEY).where(F.col("op") != FAV_REMOVE)
+    state = _first_add_last_tags(live, KEY).where(F.col("_add").isNotNull())
+    position = {c: F.struct(f"{c}.ts", f"{c}.event_id") for c in ("_add", "_tags")}
+    retagged = F.coalesce(position["_tags"] > position["_add"], F.lit(False))
+    tags = F.when(retagged, F.col("_tags.tags")).otherwise(F.col("_add.tags"))
     return state.select(*KEY, F.coalesce(tags, no_tags()).alias("tags"),
-                        F.col("_add._ord.ts").alias("created_at"))
+                        F.col("_add.ts").alias("created_at"))
 
 
 def latest(rows: DataFrame, keys: list[str], *newest_first: Column) -> DataFrame:

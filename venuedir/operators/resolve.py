@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from venuedir.functions.text import normalize_name
+from venuedir.operators.skew import lookup
 
 ISSN, NAME, ABBR = "issn", "name", "abbr"
 
@@ -71,10 +72,25 @@ def answers(candidates: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def _answer(candidates: DataFrame, kind: str, prefix: str, *columns: str) -> DataFrame:
-    wanted = answers(candidates, kind)
-    return wanted.select(F.col("query_key").alias(f"_{prefix}_key"),
-                         *[F.col(c).alias(f"_{prefix}_{c}") for c in columns])
+def _with_answer(rows: DataFrame, candidates: DataFrame, kind: str, key: Column,
+                 *columns: str) -> DataFrame:
+    """Add the answers of one kind of search as ``_<kind>_<column>``; a NULL key has none.
+
+    Very many rows may search for the same text, so this is a skew-tolerant lookup.
+    Rows that search for nothing are spread by their own fields instead of meeting
+    in one task.
+    """
+    found = answers(candidates, kind).select(
+        F.col("query_key").alias("_key"), F.lit(0).alias("_spread"),
+        *[F.col(c).alias(f"_{kind}_{c}") for c in columns])
+    spread = F.when(key.isNull(), F.pmod(F.xxhash64("full", "abbr"), F.lit(1000)) + 1).otherwise(0)
+    keyed = rows.withColumns({
+        "_key": F.coalesce(key, F.lit("")), "_spread": spread.cast("int")})
+    return lookup(keyed, found, ["_key", "_spread"]).drop("_key", "_spread")
+
+
+def _usable(text: Column, *unusable: str) -> Column:
+    return F.when(~F.coalesce(text, F.lit("")).isin(list(unusable)), text)
 
 
 def resolve(catalogue: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -83,11 +99,9 @@ def resolve(catalogue: DataFrame, candidates: DataFrame) -> DataFrame:
     Order: the first candidate of the ISSN search; an equal normalised name; a name
     contained either way; the only candidate; the first candidate; none.
     """
-    issn = _answer(candidates, ISSN, "issn", "first_id")
-    name = _answer(candidates, NAME, "name", "exact_id", "partial_id", "first_id", "n")
-    usable_issn = F.when(~F.coalesce("issn", F.lit("")).isin("", "-"), F.col("issn"))
-    joined = catalogue.join(issn, usable_issn == F.col("_issn_key"), "left").join(
-        name, F.col("full") == F.col("_name_key"), "left")
+    joined = _with_answer(catalogue, candidates, ISSN, _usable(F.col("issn"), "", "-"), "first_id")
+    joined = _with_answer(joined, candidates, NAME, F.col("full"),
+                          "exact_id", "partial_id", "first_id", "n")
     journalid = F.coalesce("_issn_first_id", "_name_exact_id", "_name_partial_id", "_name_first_id")
     method = (
         F.when(F.col("_issn_first_id").isNotNull(), ISSN)
@@ -107,16 +121,11 @@ def resolve_with_abbreviation(catalogue: DataFrame, candidates: DataFrame) -> Da
     of the abbreviation search that contains the abbreviation is taken before the
     first result of the name search. An abbreviation equal to the name adds nothing.
     """
-    issn = _answer(candidates, ISSN, "issn", "first_id")
-    name = _answer(candidates, NAME, "name", "exact_id", "partial_id", "first_id", "n")
-    abbr = _answer(candidates, ABBR, "abbr", "containing_id")
-    usable_issn = F.when(~F.coalesce("issn", F.lit("")).isin("", "-"), F.col("issn"))
-    usable_abbr = F.when((F.col("abbr") != "") & (F.col("abbr") != F.col("full")), F.col("abbr"))
-    joined = (
-        catalogue.join(issn, usable_issn == F.col("_issn_key"), "left")
-        .join(name, F.col("full") == F.col("_name_key"), "left")
-        .join(abbr, usable_abbr == F.col("_abbr_key"), "left")
-    )
+    usable_abbr = F.when(F.col("abbr") != F.col("full"), _usable(F.col("abbr"), ""))
+    joined = _with_answer(catalogue, candidates, ISSN, _usable(F.col("issn"), "", "-"), "first_id")
+    joined = _with_answer(joined, candidates, NAME, F.col("full"),
+                          "exact_id", "partial_id", "first_id", "n")
+    joined = _with_answer(joined, candidates, ABBR, usable_abbr, "containing_id")
     by_name = F.when(F.col("_name_n") == 1, F.coalesce("_name_exact_id", "_name_partial_id", "_name_first_id"))
     by_name = by_name.when(F.col("_name_n") > 1, F.coalesce(
         "_name_exact_id", "_name_partial_id", "_abbr_containing_id", "_name_first_id"))

@@ -13,6 +13,7 @@ from venuedir.operators.filters import MIN_PAGE_CHARS
 from venuedir.operators.ledger import DEFAULT_KEY
 from venuedir.operators.replay import latest
 from venuedir.operators.resolve import keep_known_ids, resolve
+from venuedir.operators.skew import lookup
 from venuedir.session import shared_dir
 
 # Source field -> catalogue column. Fixed values.
@@ -63,7 +64,7 @@ def build_journals(catalogue: DataFrame, older_metrics: DataFrame, candidates: D
     good = records.where(F.col("reject_reason").isNull())
     one_page = latest(good, ["journalid"], F.desc("page_id")).drop("page_id", "reject_reason")
     # The extracted name decides the outcome; a page that never parsed has none.
-    attempts = resolved.join(one_page.select("journalid", "name"), "journalid", "left")
+    attempts = lookup(resolved, one_page.select("journalid", "name"), ["journalid"])
     outcomes = outcomes_.outcomes(
         attempts.select(*key, "journalid", "method", "name", F.current_timestamp().alias("ts")))
 

@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from venuedir import schema
 from venuedir.operators.replay import latest, replay_favorites, replay_notes
+from venuedir.operators.skew import lookup
 
 KEY = schema.ANNOTATION_KEY
 FAVORITES, NOTES = "favorites", "notes"
@@ -57,7 +58,8 @@ class ChangeStore:
         buckets = [r.bucket for r in written.select("bucket").distinct().collect()]  # <= self.buckets
         if not buckets:
             return
-        history = self._log(spark).where(F.col("bucket").isin(buckets)).join(touched, KEY, "left_semi")
+        own = self._log(spark).where(F.col("bucket").isin(buckets))
+        history = lookup(own, touched, KEY, "left_semi")
         for name, replay in REPLAYS.items():
             state = replay(history).withColumn("live", F.lit(True))
             version = touched.join(state, KEY, "left").withColumn(
