@@ -69,7 +69,8 @@ def annotate_for_owners(entries: DataFrame, favorites: DataFrame, notes: DataFra
     fav = favorites.select(*schema.ANNOTATION_KEY, "tags", F.lit(True).alias("is_favorite"))
     note = notes.select(*schema.ANNOTATION_KEY, F.col("content").alias("note"))
     both = fav.join(note, schema.ANNOTATION_KEY, "full_outer")
-    rows = both.join(entries.select(*columns), both["entry_id"] == entries["id"])
+    venue = entries.select(F.col("id").alias("entry_id"), *[c for c in columns if c != "id"])
+    rows = lookup(both, venue, ["entry_id"], "inner").withColumnRenamed("entry_id", "id")
     return rows.select(
         *schema.OWNER_KEY, *columns,
         F.coalesce("tags", no_tags()).alias("tags"),
@@ -117,7 +118,7 @@ def notes_with_entry(notes: DataFrame, entries: DataFrame) -> DataFrame:
     is the one that skew splitting cuts.
     """
     venue = entries.select(F.col("id").alias("entry_id"), "ccf_abbr", "ccf_full", "ccf_level")
-    return notes.join(venue, "entry_id").select(
+    return lookup(notes, venue, ["entry_id"], "inner").select(
         *schema.OWNER_KEY, "entry_id", "ccf_abbr", "ccf_full", "ccf_level", "content", "updated_at")
 
 

@@ -89,7 +89,7 @@ def remove_tags(favorites: DataFrame, removals: DataFrame) -> DataFrame:
                             F.posexplode_outer("tags").alias("_pos", "_name"))
     gone = removals.select(F.lit(USER).alias("owner_kind"), F.col("user_id").alias("owner_id"),
                            F.col("name").alias("_name"), F.lit(True).alias("_gone")).distinct()
-    marked = rows.join(gone, [*schema.OWNER_KEY, "_name"], "left")
+    marked = lookup(rows, gone, [*schema.OWNER_KEY, "_name"])
     kept = F.when(F.col("_gone").isNull() & F.col("_name").isNotNull(), F.struct("_pos", "_name"))
     regrouped = marked.groupBy(*schema.ANNOTATION_KEY, "created_at").agg(
         F.array_sort(F.collect_list(kept)).alias("_kept"))

@@ -2,6 +2,8 @@
 
 Input is ``logins(device_id, user_id, ts)``. Each device's first login takes its
 favourites and tags along; a later login of the same device finds nothing left.
+Notes that had to stay may move at a later login to another user: that case is in
+``plans.login.merge_notes_in_order``.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from venuedir.operators.annotations import guest_tags
 from venuedir.operators.definitions import insert_absent
 from venuedir.operators.owners import DEVICE, USER
 from venuedir.operators.replay import latest
+from venuedir.operators.skew import lookup
 
 KEY = schema.ANNOTATION_KEY
 
@@ -29,7 +32,7 @@ def _with_login(annotations: DataFrame, logins: DataFrame) -> DataFrame:
     login = first_logins(logins).select(
         F.lit(DEVICE).alias("owner_kind"), F.col("device_id").alias("owner_id"),
         F.col("user_id").alias("login_user"), F.col("ts").alias("login_ts"))
-    return annotations.join(login, schema.OWNER_KEY, "left")
+    return lookup(annotations, login, schema.OWNER_KEY)
 
 
 def merge_favorites(favorites: DataFrame, logins: DataFrame) -> DataFrame:
@@ -54,7 +57,8 @@ def merge_notes(notes: DataFrame, logins: DataFrame) -> DataFrame:
     """A guest's note moves to the user if the user has none on that entry.
 
     Otherwise the guest row stays with the device: of several devices of one user
-    the earlier login moves its note and the others keep theirs.
+    the earlier login moves its note and the others keep theirs. Only the first login
+    of a device counts here.
     """
     rows = _with_login(notes, logins)
     guests = rows.where(F.col("login_user").isNotNull())
@@ -62,14 +66,14 @@ def merge_notes(notes: DataFrame, logins: DataFrame) -> DataFrame:
 
     users = notes.where(F.col("owner_kind") == USER).select(
         F.col("owner_id").alias("login_user"), "entry_id", F.lit(True).alias("_taken"))
-    claims = guests.join(users, ["login_user", "entry_id"], "left")
+    claims = lookup(guests, users, ["login_user", "entry_id"])
     free = F.col("_taken").isNull()
     winners = latest(
         claims.where(free).select("login_user", "entry_id", "owner_id", "login_ts"),
         ["login_user", "entry_id"], F.asc("login_ts"), F.asc("owner_id"))
-    decided = claims.join(
-        winners.select("login_user", "entry_id", F.col("owner_id").alias("_winner")),
-        ["login_user", "entry_id"], "left")
+    decided = lookup(
+        claims, winners.select("login_user", "entry_id", F.col("owner_id").alias("_winner")),
+        ["login_user", "entry_id"])
     moves = F.coalesce(F.col("_winner") == F.col("owner_id"), F.lit(False))
     placed = decided.select(
         F.when(moves, USER).otherwise(F.col("owner_kind")).alias("owner_kind"),
@@ -86,8 +90,7 @@ def merge_tags(user_tags: DataFrame, favorites: DataFrame, logins: DataFrame) ->
     """
     names = guest_tags(favorites).select(
         F.col("owner_id").alias("device_id"), "name")
-    login = first_logins(logins)
-    added = login.join(names, "device_id").groupBy("user_id", "name").agg(
-        F.min("ts").alias("created_at"))
+    added = lookup(names, first_logins(logins), ["device_id"], "inner").groupBy(
+        "user_id", "name").agg(F.min("ts").alias("created_at"))
     fresh = added.select("user_id", "name", F.lit("").alias("color"), "created_at")
     return insert_absent(user_tags.select(*fresh.columns), fresh, ["user_id", "name"])
