@@ -6,7 +6,7 @@ start from the same derived rows; what is compared is what the operators do.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +92,21 @@ def _select(expressions: dict[str, str]) -> str:
     return ", ".join(f"{sql} as {name}" for name, sql in expressions.items())
 
 
+_OPENED: dict[tuple, DataFrame] = {}
+
+
+def _opened(make):
+    """Keep the (lazy) frame per session and folder, as a user keeps a table variable."""
+    @wraps(make)
+    def once(spark: SparkSession, sf_dir: str, *rest: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, make.__name__, sf_dir, *rest)
+        if key not in _OPENED:
+            _OPENED[key] = make(spark, sf_dir, *rest)
+        return _OPENED[key]
+    return once
+
+
+@_opened
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -102,6 +117,7 @@ def raw_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.selectExpr(*[f"{sql} as {name}" for name, sql in ENTRY_EXPRESSIONS.items()])
 
 
+@_opened
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = raw_entries(spark, sf_dir)
     decoded = {c: decode_partition(F.col(c)) for c in schema.PARTITION_COLUMNS}
@@ -111,12 +127,14 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns(decoded)
 
 
+@_opened
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     rows = events.selectExpr(*[f"{sql} as {name}" for name, sql in OPERATION_EXPRESSIONS.items()])
     return rows.withColumn("tags", decode_tags(F.col("tags")))
 
 
+@_opened
 def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(device_id, user_id, ts)``; two neighbouring devices belong to one user."""
     events = table(spark, sf_dir, "events").where(f"user_id%2=1 and value>={LOGIN_VALUE}")
@@ -126,6 +144,7 @@ def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(user_id - user_id%4 + 2 as string) as user_id", "ts")
 
 
+@_opened
 def user_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tag definitions ``(user_id, name, color, created_at)``: two per user that ever acted."""
     ops = operations(spark, sf_dir).where("owner_kind = 'user'")

@@ -81,7 +81,7 @@ def _any_label_cell() -> str:
 
 
 def _with_label_cells(pages: DataFrame) -> DataFrame:
-    """Add arrays of the labels found (lower case) and of the raw cells behind them.
+    """Add arrays of the labels found (lower case) and of the stripped cells behind them.
 
     Two passes over the page for all labels, where one pattern per label takes
     nineteen. No label is the beginning of another.
@@ -89,20 +89,43 @@ def _with_label_cells(pages: DataFrame) -> DataFrame:
     pattern = F.lit(_any_label_cell())
     return pages.withColumns({
         "_labels": F.transform(F.regexp_extract_all(F.col("html"), pattern, F.lit(1)), F.lower),
-        "_values": F.regexp_extract_all(F.col("html"), pattern, F.lit(2)),
+        "_values": F.transform(
+            F.regexp_extract_all(F.col("html"), pattern, F.lit(2)), strip_markup),
     })
 
 
 def _cell(column: str) -> Column:
-    """First cell of a label, stripped; ``''`` when the page lacks it."""
+    """First cell of a label; ``''`` when the page lacks it."""
     at = F.array_position("_labels", CELL_LABELS[column].lower()).cast("int") - 1
-    return strip_markup(F.coalesce(F.get(F.col("_values"), at), F.lit("")))
+    return F.coalesce(F.get(F.col("_values"), at), F.lit(""))
 
 
-def _window(html: Column, header: str, chars: int) -> Column:
-    """Text from a header on, NULL when the header is missing."""
-    at = F.instr(html, header)
-    return F.when(at > 0, F.substring(html, at, F.lit(chars)))
+def _with_sections(pages: DataFrame) -> DataFrame:
+    """Cut out the sections that are searched for repeated rows; NULL where there is none.
+
+    Positions are columns of their own, so that each header is looked for once.
+    """
+    html = F.col("html")
+    staged = pages.withColumns({
+        "_citescore_at": F.instr(html, CITESCORE_HEADER), "_ranking_at": F.instr(html, RANKING_HEADER),
+        "_jif_at": F.instr(html, JIF_HEADER), "_jci_at": F.instr(html, JCI_HEADER)})
+
+    def window(at: Column, chars: Column) -> Column:
+        return F.when(at > 0, F.substring(html, at, chars))
+
+    jif, jci = F.col("_jif_at"), F.col("_jci_at")
+    staged = staged.withColumns({
+        "_citescore_row": citescore_row(window(F.col("_citescore_at"), F.lit(CITESCORE_CHARS))),
+        # The JIF section ends where a later JCI section begins.
+        "_jif_section": window(jif, F.when(jci > jif, jci - jif).otherwise(JIF_CHARS)),
+        "_jci_section": window(jci, F.lit(JCI_CHARS)),
+    })
+    # Rankings count only on pages that have a CiteScore data row.
+    rankings = window(F.col("_ranking_at"), F.lit(RANKING_CHARS))
+    return staged.withColumns({
+        "_numbers": citescore_numbers(F.col("_citescore_row")),
+        "_ranking_section": F.when(F.col("_citescore_row") != "", rankings),
+    })
 
 
 def _behind(html: Column, field: tuple[str, str], word: str = "") -> Column:
@@ -128,9 +151,8 @@ def _records(text: Column, pattern: str, names: list[str]) -> Column:
         *[F.regexp_extract(m, pattern, i + 1).alias(n) for i, n in enumerate(names)]))
 
 
-def citescore_row(html: Column) -> Column:
+def citescore_row(section: Column) -> Column:
     """The data row under the CiteScore header, ``''`` when there is none."""
-    section = _window(html, CITESCORE_HEADER, CITESCORE_CHARS)
     return F.coalesce(F.regexp_extract(section, _DATA_ROW, 1), F.lit(""))
 
 
@@ -139,11 +161,6 @@ def citescore_numbers(row: Column) -> Column:
     return F.regexp_extract_all(row, F.lit(_NUMBER_CELL), F.lit(1))
 
 
-def ranking_section(html: Column, row: Column) -> Column:
-    """Text of the CiteScore rankings; NULL on pages without a CiteScore data row."""
-    return F.when(row != "", _window(html, RANKING_HEADER, RANKING_CHARS))
-
-
 def citescore_rankings(section: Column) -> Column:
     """Ranking triples of a section whose category names a subject class."""
     triples = _records(section, _RANKING_ROW, ["category", "zone", "rank"])
@@ -153,17 +170,6 @@ def citescore_rankings(section: Column) -> Column:
     return F.coalesce(kept, F.array().cast(schema.CITESCORE_RANKINGS))
 
 
-def jif_section(html: Column) -> Column:
-    """Text of the JIF rankings, which ends where a later JCI section begins."""
-    jif, jci = F.instr(html, JIF_HEADER), F.instr(html, JCI_HEADER)
-    chars = F.when(jci > jif, jci - jif).otherwise(JIF_CHARS)
-    return F.when(jif > 0, F.substring(html, jif, chars))
-
-
-def jci_section(html: Column) -> Column:
-    return _window(html, JCI_HEADER, JCI_CHARS)
-
-
 def subject_rankings(section: Column) -> Column:
     """Ranking rows of a JIF or JCI section."""
     rows = _records(section, _SUBJECT_ROW, ["subject", "subset", "quartile", "rank"])
@@ -205,13 +211,7 @@ def extract_text(pages: DataFrame, min_chars: int = MIN_PAGE_CHARS) -> DataFrame
     html = F.col("html")
     staged = pages.withColumn("reject_reason", reject_reason(html, min_chars))
     staged = _with_label_cells(with_partitions(staged))
-    staged = staged.withColumn("_citescore_row", citescore_row(html))
-    staged = staged.withColumns({
-        "_numbers": citescore_numbers(F.col("_citescore_row")),
-        "_ranking_section": ranking_section(html, F.col("_citescore_row")),
-        "_jif_section": jif_section(html),
-        "_jci_section": jci_section(html),
-    })
+    staged = _with_sections(staged)
 
     def number(i: int) -> Column:
         three = F.size("_numbers") >= 3

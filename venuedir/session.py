@@ -37,6 +37,7 @@ def local_session(cores: int | str = 8, app_name: str = "venuedir") -> SparkSess
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
