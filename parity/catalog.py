@@ -184,7 +184,7 @@ QUERIES = {
             union all select id, 2, '中科院 2023', cas2023 from entries)"""),
     "rankings_jif": (
         lambda spark, sf: details.jif_rankings(d.entries(spark, sf)),
-        d.E_ + """select id, i as position, """ + ", ".join(
+        d.E_ + """select id, cast(i as integer) as position, """ + ", ".join(
             f"json_extract_string(jif, '$[' || i || '].{f}') as {f}" for f in ("subject", "subset", "quartile", "rank"))
         + " from (select id, jif, unnest(range(json_array_length(jif)::bigint)) as i from entries)"),
     "rankings_jci": (

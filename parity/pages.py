@@ -125,11 +125,11 @@ EXPECTED_SQL = f"""select p_partkey as page_id, {_KEY} as journalid, {PAGE_URL}
   concat({_SIZE}, '.5%') as gold_oa_ratio, concat('http://v.example.org/', {_KEY}) as official_url,
   cast(null as string) as submission_url,
   case p_partkey%4 when 0 then 'ESCI' when 1 then 'SCIE' when 2 then 'SCIE' end as sci_type,
-  p_retailprice as impact_factor, p_size + case when p_partkey%2=0 then 0.25 else 0.75 end as realtime_if,
+  p_retailprice as impact_factor, cast(p_size + case when p_partkey%2=0 then 0.25 else 0.75 end as double) as realtime_if,
   cast(concat({_SIZE}, '.1') as double) as five_year_if, cast(concat({_SIZE}, '.2') as double) as jci_value,
   p_size as h_index, cast(concat({_SIZE}, '.4') as double) as cite_score, cast(1.5 as double) as sjr,
   cast(0.9 as double) as snip, concat({_SIZE}, '%') as self_citation_rate, concat({_SIZE}, ' weeks') as review_speed,
-  'about 30%' as acceptance_rate, p_size*10+7 as article_count, p_size+0.5 as letpub_score, concat({_Z}, '区') as wos_zone,
+  'about 30%' as acceptance_rate, p_size*10+7 as article_count, cast(p_size+0.5 as double) as letpub_score, concat({_Z}, '区') as wos_zone,
   concat(p_type, '|SCIE|Q', {_Z}, '|', {_SIZE}, '/50;', p_brand, '|ESCI|Q1|1/9') as jif,
   concat(p_brand, '|SCIE|Q2|', {_SIZE}, '/60') as jci_json,
   concat('大类： ', p_type, '|Q1|', {_SIZE}, ' / 70') as citescore_rankings,
@@ -166,7 +166,7 @@ QUERIES = {
     "page_links": (
         lambda spark, sf: d.table(spark, sf, "pages").select("page_id", F.posexplode(
             F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("pos", "href")),
-        f"select page_id, unnest(range(len(l))) as pos, unnest(l) as href from "
+        f"select page_id, cast(unnest(range(len(l))) as integer) as pos, unnest(l) as href from "
         f"(select page_id, regexp_extract_all(html, '{LINK}', 1) as l from pages)"),
     "page_gate": (
         lambda spark, sf: d.table(spark, sf, "pages").select(

@@ -14,7 +14,9 @@ from venuedir.plans.list_query import VenueQuery, fetch_page, matching, page
 
 @pytest.fixture(scope="module")
 def entries(spark):
-    return derived.entries(spark, SMALL).cache()
+    rows = derived.entries(spark, SMALL).cache()
+    yield rows
+    rows.unpersist()
 
 
 @pytest.fixture(scope="module")

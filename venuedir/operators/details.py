@@ -26,8 +26,9 @@ def entry_detail(entries: DataFrame, favorites: DataFrame, entry_id: int,
     if owner is None:
         return entry.withColumn("is_favorite", F.lit(False))
     own = rows_of(favorites, owner).where(F.col("entry_id") == entry_id)
-    hit = own.agg((F.count(F.lit(1)) > 0).alias("is_favorite"))
-    return entry.crossJoin(F.broadcast(hit))  # one row against one row
+    hit = own.select("entry_id").distinct()
+    marked = entry.join(hit, F.col("id") == F.col("entry_id"), "left")
+    return marked.select(*entry.columns, F.col("entry_id").isNotNull().alias("is_favorite"))
 
 
 def partition_comparison(entries: DataFrame) -> DataFrame:

@@ -45,14 +45,15 @@ CELL_LABELS = {
 }
 SHARED_EXPERIENCE = "网友分享经验"
 
-# Other fixed texts of a page.
+# Other fixed values: headers and phrases of a page, the characters a section may
+# span, and the patterns of its fields and rows.
 CITESCORE_HEADER, CITESCORE_CHARS = ">CiteScore</th>", 2000
 RANKING_HEADER, RANKING_CHARS = ">CiteScore排名</th>", 3000
 RANKING_WORDS = ["大类", "小类", "学科"]
 JIF_HEADER, JIF_CHARS = "按JIF指标学科分区", 3000
 JCI_HEADER, JCI_CHARS = "按JCI指标学科分区", 2000
 
-# Fields behind a fixed text: (the text, the rest of the pattern).
+# Fields behind a fixed text as (the text, the rest of the pattern).
 _NAME = ("期刊名字</span>", r'.*?alt="([^"]+)"')
 _H_INDEX = ("(?i)h-index", rf".*?</td>{WS}*<td[^>]*>{WS}*(\d+){WS}*<")
 _ARTICLES = ("(?i)<td[^>]*>年文章数", rf'.*?</td>{WS}*<td[^>]*colspan="2"[^>]*>(.*?)</td>')

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from venuedir.operators import merge
 from venuedir.operators.owners import DEVICE, USER
 from venuedir.operators.replay import latest
+from venuedir.operators.skew import lookup
 from venuedir.session import shared_dir
 
 
@@ -45,7 +46,9 @@ def merge_notes_in_order(notes: DataFrame, logins: DataFrame) -> DataFrame:
     guests = notes.where(F.col("owner_kind") == DEVICE).select(
         F.col("owner_id").alias("device_id"), "entry_id")
     once = logins.groupBy("device_id", "user_id").agg(F.min("ts").alias("login_ts"))
-    claims = guests.join(once, "device_id").join(taken, ["user_id", "entry_id"], "left_anti")
+    # A device may hold very many notes, a user very many entries: skew-tolerant joins.
+    claims = lookup(guests, once, ["device_id"], "inner")
+    claims = lookup(claims, taken, ["user_id", "entry_id"], "left_anti")
     claims = claims.select("device_id", "user_id", "entry_id", "login_ts").checkpoint()
 
     moves = None
@@ -65,7 +68,7 @@ def merge_notes_in_order(notes: DataFrame, logins: DataFrame) -> DataFrame:
         return notes
     target = moves.select(F.lit(DEVICE).alias("owner_kind"), F.col("device_id").alias("owner_id"),
                           "entry_id", F.col("user_id").alias("_user"))
-    joined = notes.join(target, ["owner_kind", "owner_id", "entry_id"], "left")
+    joined = lookup(notes, target, ["owner_kind", "owner_id", "entry_id"])
     moved = F.col("_user").isNotNull()
     return joined.withColumns({
         "owner_kind": F.when(moved, USER).otherwise(F.col("owner_kind")),
