@@ -122,6 +122,13 @@ QUERIES = {
     "search_literal_wildcard": (
         filtered(VenueQuery(q="#1_"), "ccf_full"),
         d.E_ + f"select id, type, ccf_full from entries where {_keyword('#1_')}"),
+    # Whole document texts as names; as a wildcard the character would match them all.
+    "search_texts_percent": (
+        lambda spark, sf: d.table(spark, sf, "documents").select(
+            F.col("doc_id").alias("id"), F.col("lang").alias("ccf_abbr"), F.col("text").alias("ccf_full"),
+            F.col("source").alias("ccf_publisher")).where(VenueQuery(q="%").predicate()).select("id", "ccf_abbr"),
+        "select doc_id as id, lang as ccf_abbr from documents "
+        "where contains(lang,'%') or contains(text,'%') or contains(source,'%')"),
     "filter_everything": (
         filtered(VenueQuery(type="journal", level="B,C", cas_zone="2", q="brand#1"), "ccf_abbr", "impact_factor"),
         d.E_ + f"select id, type, ccf_abbr, impact_factor from entries where type='journal' and ccf_level in ('B','C') "
