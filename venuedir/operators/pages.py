@@ -75,23 +75,21 @@ def cell_after_label(html: Column, label: str) -> Column:
     return strip_markup(F.regexp_extract(html, pattern, 1))
 
 
-def _any_label_cell() -> str:
-    """One pattern for all labels: consumes the label only, looks ahead for the value."""
-    labels = "|".join(re.escape(label) for label in CELL_LABELS.values())
-    return rf"(?is)<td[^>]*>{WS}*({labels})(?=.*?</td>{WS}*<td[^>]*>(.*?)</td>)"
-
-
 def _with_label_cells(pages: DataFrame) -> DataFrame:
     """Add arrays of the labels found (lower case) and of the stripped cells behind them.
 
-    Two passes over the page for all labels, where one pattern per label takes
-    nineteen. No label is the beginning of another.
+    One pass over the page for all labels, where one pattern per label takes
+    nineteen: each match consumes the tag only and looks ahead for the label, the
+    rest of its cell and the next cell. No label is the beginning of another.
     """
-    pattern = F.lit(_any_label_cell())
-    return pages.withColumns({
-        "_labels": F.transform(F.regexp_extract_all(F.col("html"), pattern, F.lit(1)), F.lower),
-        "_values": F.transform(
-            F.regexp_extract_all(F.col("html"), pattern, F.lit(2)), strip_markup),
+    any_label = "|".join(re.escape(label) for label in CELL_LABELS.values())
+    both = rf"(?is)<td[^>]*>{WS}*(?=((?:{any_label}).*?</td>{WS}*<td[^>]*>.*?</td>))"
+    value = rf"(?is)\A.*?</td>{WS}*<td[^>]*>(.*?)</td>\z"
+    found = F.col("_pairs")
+    staged = pages.withColumn("_pairs", F.regexp_extract_all("html", F.lit(both), F.lit(1)))
+    return staged.withColumns({
+        "_labels": F.transform(found, lambda pair: F.lower(F.regexp_extract(pair, rf"(?i)\A(?:{any_label})", 0))),
+        "_values": F.transform(found, lambda pair: strip_markup(F.regexp_extract(pair, value, 1))),
     })
 
 
