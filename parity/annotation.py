@@ -9,6 +9,7 @@ from parity.catalog import USER, favorites, notes
 from venuedir.operators import annotations as a
 from venuedir.operators import definitions, integrity, merge
 from venuedir.operators.owners import Owner
+from venuedir.operators.replay import replay_notes, trimmed_notes
 
 OWNER = Owner("user", USER)
 OWN = f"owner_kind='user' and owner_id='{USER}'"
@@ -134,6 +135,18 @@ QUERIES = {
               when exists (select 1 from user_tags t where t.user_id=requests.user_id and t.name=requests.name) then 'conflict'
               when row_number() over (partition by user_id, name order by created_at, request_id)>1 then 'conflict'
               else 'inserted' end as status from requests"""),
+    "insert_absent_tags": (
+        lambda spark, sf: definitions.insert_absent(
+            d.user_tags(spark, sf),
+            _requests(spark, sf).select("user_id", "name", "color", "created_at"), ["user_id", "name"]),
+        d.with_ctes(d.OPS_CTE, d.USER_TAGS_CTE, REQUESTS_CTE) + """select * from user_tags
+          union all select user_id, name, 'red', min(created_at) from requests
+          where not exists (select 1 from user_tags t where t.user_id=requests.user_id and t.name=requests.name)
+          group by user_id, name"""),
+    "trimmed_notes": (
+        lambda spark, sf: replay_notes(trimmed_notes(d.operations(spark, sf).withColumn(
+            "content", F.concat(F.lit("\u3000 \n"), F.col("content"), F.lit(" \t\u00a0"))))),
+        d.FN + f"select {KEY}, content, updated_at from notes"),
     "update_tags": (
         lambda spark, sf: definitions.update_tags(
             d.user_tags(spark, sf),

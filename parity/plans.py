@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from parity import annotation, pages
 from parity import derived as d
 from parity.catalog import favorites, notes
+from venuedir import schema
 from venuedir.functions.tags import decode_tags
 from venuedir.operators.replay import replay_toggles
 from venuedir.plans.build import build_journals
+from venuedir.plans.list_query import VenueQuery
 from venuedir.plans.login import Annotations, merge_logins, merge_notes_in_order
 from venuedir.session import shared_dir
+from venuedir.sources import catalogue
 from venuedir.streaming.changes import ChangeStore, start_replay
 
 
@@ -42,19 +45,53 @@ def merged(spark, sf):
 def built(spark, sf):
     part = d.table(spark, sf, "part")
     key = "cast(p_partkey as string)"
-    catalogue = part.selectExpr("p_type as domain", f"concat('J', {key}) as abbr", f"concat(p_name, ' ', {key}) as full",
+    sources = part.selectExpr("p_type as domain", f"concat('J', {key}) as abbr", f"concat(p_name, ' ', {key}) as full",
                                 "'A' as level", "p_brand as publisher", "cast(null as string) as url")
-    older = part.selectExpr(f"concat('J', {key}) as abbr", "'-' as issn").limit(0)
+    older = part.selectExpr(f"concat('J', {key}) as abbr", "'-' as issn")
     found = part.where("p_size > 10").selectExpr(
         "'name' as query_kind", f"concat(p_name, ' ', {key}) as query_key", "0 as pos",
         f"{key} as journalid", f"upper(concat(p_name, '-', {key})) as name")
-    return build_journals(catalogue, older, found, pages.detail_pages(spark, sf))
+    return build_journals(sources, older, found, pages.detail_pages(spark, sf))
 
 
 BUILT = f"""(select *, case when p_size<=10 or p_partkey=0 then 'not_found' when ({pages.REASON}) is not null then 'parse_failed'
   else 'success' end as status from part)"""
 
+STORED = ["id", "type", "ccf_domain", "ccf_level", "ccf_abbr", "issn", "impact_factor", "h_index", "wos_zone"]
+
+
+def stored(spark, sf):
+    """Entries written as the catalogue table and read back."""
+    path = shared_dir(spark, "entries")
+    catalogue.load_if_absent(d.entries(spark, sf), path)
+    return catalogue.read_entries(spark, path)
+
+
+def exported(spark, sf):
+    """Entries exported as import records, then imported again."""
+    path = shared_dir(spark, "export")
+    catalogue.write_export(d.entries(spark, sf), path)
+    return catalogue.import_catalogue(
+        spark.read.schema(schema.JOURNAL_IMPORT).json(f"{path}/journals"),
+        spark.read.schema(schema.CONFERENCE_IMPORT).json(f"{path}/conferences"))
+
+
 QUERIES = {
+    "stored_entries": (
+        lambda spark, sf: stored(spark, sf).select(*STORED, F.col("cas2025.bigZone").alias("cas_zone")),
+        d.E_ + f"select {', '.join(STORED)}, json_extract_string(cas2025, '$.bigZone') as cas_zone from entries"),
+    "stored_entries_filtered": (
+        lambda spark, sf: stored(spark, sf).where(VenueQuery(
+            type="journal", level="A", zones={"xinrui": "1,2"}).predicate()).select("id", "ccf_abbr"),
+        d.E_ + "select id, ccf_abbr from entries where type='journal' and ccf_level='A' "
+               "and json_extract_string(xinrui, '$.bigZone') in ('1区','2区')"),
+    "exported_entries": (
+        lambda spark, sf: exported(spark, sf).select(
+            *STORED[1:], F.col("cas2025.bigZone").alias("cas_zone"), F.size("jif").alias("n_jif")),
+        # conferences keep their six own fields only
+        d.E_ + "select type, ccf_domain, ccf_level, ccf_abbr, case when type='journal' then issn end as issn, "
+               "impact_factor, h_index, wos_zone, json_extract_string(cas2025, '$.bigZone') as cas_zone, "
+               "cast(json_array_length(jif) as integer) as n_jif from entries"),
     "stream_replay": (
         lambda spark, sf: annotation.text_tags(streamed(spark, sf).favorites(spark)),
         annotation.QUERIES["replay_favorites"][1]),

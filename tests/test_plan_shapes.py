@@ -11,7 +11,7 @@ from parity import derived
 from venuedir.operators import facets, ledger, paging, replay, skew
 
 QUERIES = driver.queries()
-EAGER = {"stream_replay", "stream_replay_notes", "build_catalogue", "build_outcomes", "build_rejects",
+EAGER = {"stored_entries", "stored_entries_filtered", "exported_entries", "stream_replay", "stream_replay_notes", "build_catalogue", "build_outcomes", "build_rejects",
          "merge_logins_notes", "merge_notes_many_users"}
 
 
