@@ -19,6 +19,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 BITS, LEVELS = 12, 5
+#: A source's documents are spread over so many tasks when they meet its row.
+SALTS = 64
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
@@ -48,6 +50,15 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     return rows.select("source", "source_size", target.alias("target"))
 
 
+def _salted(per_source: DataFrame, name: str) -> DataFrame:
+    """Rows per source once for each salt: a hot source's documents then join in ``SALTS`` tasks."""
+    return per_source.withColumnRenamed("source", name).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _same_source():
+    return F.col("source").eqNullSafe(F.col("_source")) & (F.pmod("h", F.lit(SALTS)) == F.col("_salt"))
+
+
 def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     """``(source, threshold)`` from ``docs(source, h, size)`` and ``budgets(source, rest)``.
 
@@ -57,10 +68,9 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     state = budgets.select("source", F.col("rest").alias("_rest"), F.lit(0).cast("long").alias("_prefix"))
     for level in range(LEVELS):
         bucket = F.shiftright("h", BITS * (LEVELS - 1 - level))
-        rows = docs.select("source", "size", bucket.alias("_bucket"))
+        rows = docs.select("source", "h", "size", bucket.alias("_bucket"))
         inside = F.shiftright(F.col("_bucket"), BITS) == F.col("_prefix")
-        rows = rows.join(state.withColumnRenamed("source", "_source"),
-                         F.col("source").eqNullSafe(F.col("_source")) & inside)
+        rows = rows.join(_salted(state, "_source"), _same_source() & inside)
         sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_n"), F.first("_rest").alias("_rest"))
         run = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
         sums = sums.withColumn("_until", F.sum("_n").over(run)).where("_until > _rest")
@@ -93,10 +103,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float
     targets = staged(targets, "targets")
     limits = thresholds(rows, targets.select("source", "rest"))
     plan = targets.alias("t").join(limits.alias("l"), F.expr("t.source <=> l.source"), "left").select(
-        F.col("t.source").alias("_source"), "source_size", "target", "base", "rest", "threshold")
+        F.col("t.source").alias("source"), "source_size", "target", "base", "rest", "threshold")
     extra = F.when(F.col("rest") <= 0, 0).when(F.col("threshold").isNull() | (F.col("h") < F.col("threshold")), 1)
     copies = (F.col("base") + F.coalesce(extra, F.lit(0))).cast("long")
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", copies)
+    out = rows.join(_salted(plan, "_source"), _same_source()).withColumn("copies", copies)
     return out.select(F.col("_key").alias(key), F.col("source").alias(source), "size", "source_size", "target",
                       "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
