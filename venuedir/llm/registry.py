@@ -1,8 +1,10 @@
 """Registered queries of the subpackage, each with its DuckDB counterpart or None."""
 
-from venuedir.llm import lines, media, mixing, token_files
+from venuedir.llm import lines, media, minhash, mixing, quality, token_files
 
 QUERIES = {
+    "op6_minhash": (minhash.op6_minhash, None),
+    "op9_quality": (quality.op9_quality, None),
     "op5_token_files": (token_files.op5_token_files, None),
     "op7_media": (media.op7_media, None),
     "op8_line_dedup": (lines.op8_line_dedup, lines.SQL),
