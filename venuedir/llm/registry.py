@@ -1,8 +1,9 @@
 """Registered queries of the subpackage, each with its DuckDB counterpart or None."""
 
-from venuedir.llm import lines, media, minhash, mixing, quality, suffix, token_files
+from venuedir.llm import lines, media, minhash, mixing, quality, suffix, token_files, vectors
 
 QUERIES = {
+    "op2_vector_graph": (vectors.op2_vector_graph, None),
     "op1_suffix_array": (suffix.op1_suffix_array, None),
     "op6_minhash": (minhash.op6_minhash, None),
     "op9_quality": (quality.op9_quality, None),
