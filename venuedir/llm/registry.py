@@ -1,8 +1,10 @@
 """Registered queries of the subpackage, each with its DuckDB counterpart or None."""
 
-from venuedir.llm import lines, media, minhash, mixing, quality, suffix, token_files, vectors
+from venuedir.llm import lines, media, minhash, mixing, pieces, private, quality, suffix, token_files, vectors
 
 QUERIES = {
+    "op3_pieces": (pieces.op3_pieces, None),
+    "op4_private": (private.op4_private, None),
     "op2_vector_graph": (vectors.op2_vector_graph, None),
     "op1_suffix_array": (suffix.op1_suffix_array, None),
     "op6_minhash": (minhash.op6_minhash, None),
