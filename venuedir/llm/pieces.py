@@ -198,10 +198,12 @@ class Flat:
             beta[now] = np.logaddexp.reduceat(weight[arc] + np.where(last[arc], 0, beta[after]), heads)
             best[now] = np.maximum.reduceat(weight[arc] + np.where(last[arc], 0, best[after]), heads)
         logp = weight + np.where(last, 0, beta[dst]) - beta[src]
+        likely = np.lexsort((-logp, src))  # a draw mostly ends at the first arc it looks at
+        src, dst, piece, last, logp = src[likely], dst[likely], piece[likely], last[likely], logp[likely]
         p = np.exp(logp)
         total = np.concatenate([[0], np.cumsum(p)])
         run = total[1:] - total[first[src]]
-        run[first[1:] - 1] = 1
+        run[first[1:] - 1] = 2  # the last arc takes what rounding leaves
         base = len(self.first) - 1
         size = np.where(piece < 0, edges[dst] - edges[src], 1)
         spelled = np.repeat(piece, size)
@@ -211,7 +213,7 @@ class Flat:
         spelled[odd] = tables.byte[data[edges[src[owner]] + odd - starts[owner]]]
         self.place.update(zip(words, range(len(self.base), len(self.base) + len(words)), strict=True))
         for name, new in (("base", base + word_first), ("best", best[word_first] - beta[word_first]),
-                          ("end", np.where(last, -1, base + dst)), ("logp", logp), ("cut", base + src + np.minimum(run, 1)),
+                          ("end", np.where(last, -1, base + dst)), ("logp", logp), ("cut", run),
                           ("start", len(self.ids) + starts), ("size", size), ("first", len(self.end) + first[1:]), ("ids", spelled)):
             setattr(self, "_" + name, np.concatenate([getattr(self, name), new]))
         for name in ("base", "best", "end", "logp", "cut", "start", "size", "first", "ids"):
@@ -235,8 +237,11 @@ class Flat:
         while len(live):
             step += 1
             u = (mix(seeds[live] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            arc = np.searchsorted(self.cut, nodes + u, "right")
-            arc = np.clip(arc, self.first[nodes], self.first[nodes + 1] - 1)
+            arc = self.first[nodes]
+            on = np.flatnonzero(u >= self.cut[arc])
+            while len(on):
+                arc[on] += 1
+                on = on[u[on] >= self.cut[arc[on]]]
             walkers.append(live)
             arcs.append(arc)
             nodes = self.end[arc]
