@@ -124,3 +124,8 @@ def test_tag_arrays(spark):
     assert values(spark, lambda c: tags.without_tag(c, "a"), [["a", "b", "a"]], kind) == [["b"]]
     # wildcards are plain characters
     assert values(spark, lambda c: tags.has_tag(c, "a%"), [["a%"], ["ab"]], kind) == [True, False]
+
+
+def test_whole_numbers_of_json(spark):
+    got = values(spark, clean.lenient_int, ["1.0E7", "1.23456785E7", "1e7", " 12", "12.9", "12abc", "1.0E20", "5.0E-4", "abc"])
+    assert got == [10_000_000, 12_345_678, 1, 12, 12, 12, None, 0, None]

@@ -131,3 +131,12 @@ def test_insert_if_absent(spark):
     new = spark.createDataFrame([("1", "a", "x", START), ("1", "b", "late", START + timedelta(1)), ("1", "b", "first", START)], TAG)
     got = definitions.insert_absent(old, new, ["user_id", "name"])
     assert sorted((r.name, r.color) for r in got.collect()) == [("a", "red"), ("b", "first")]
+
+
+def test_update_tags_keeps_names_unique(spark):
+    defs = spark.createDataFrame([("1", n, "c") for n in "abcd"], "user_id string, name string, color string")
+    updates = spark.createDataFrame(
+        [("1", "a", "b", "x"), ("1", "c", "z", "y"), ("1", "c", "z", "y"), ("1", "d", "z", "w"), ("2", "b", "q", None), ("1", "b", None, "r")],
+        "user_id string, name string, new_name string, new_color string")
+    got = sorted((r.name, r.color) for r in definitions.update_tags(defs, updates).collect())
+    assert got == [("a", "c"), ("b", "r"), ("d", "c"), ("z", "y")]

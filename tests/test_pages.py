@@ -42,9 +42,9 @@ def test_three_tables_by_position(spark):
     assert (got.cas2023.bigZone, got.cas2023.isReview) == ("3区", False)
 
 
-def test_fourth_table_is_not_read(spark):
+def test_fourth_table_is_counted_but_not_read(spark):
     got = extract(spark, "".join(full_table(n) for n in (1, 2, 3, 4)))
-    assert (got.partition_tables, got.cas2023.bigZone) == (3, "3区")
+    assert (got.partition_tables, got.cas2023.bigZone) == (4, "3区")
 
 
 def test_two_tables(spark):
@@ -66,12 +66,23 @@ def test_short_row_is_an_empty_partition(spark, body):
     "大类学科</th>",                                     # nothing behind the header
     "大类学科</th></tr><p>no row</p>",                    # no data row
     "大类学科</th></tr><tr><td style='padding:8px'>a</td>",  # row never closes
-    "大类学科</th></tr>" + "." * 5000 + "<tr><td>far</td></tr>",  # behind the bound of the last section
 ])
 def test_missing_row_is_no_partition(spark, body):
     assert extract(spark, body).xinrui is None
 
 
+def test_name_attribute_is_case_sensitive(spark):
+    html = F.lit('期刊名字</span><img ALT="upper"><img alt="lower">')
+    assert spark.range(1).select(pages.venue_name(html)).first()[0] == "lower"
+
+
+def test_long_sections_keep_every_row(spark):
+    ranks = "<th>CiteScore排名</th>" + "".join(SMALL.format(v) for v in ("大类：A", "Q1", "1/2") * 60)
+    got = extract(spark, CITESCORE + ranks + "按JIF指标学科分区" + "." * 3000 + subject("A") * 50 + "按JCI指标学科分区" + subject("B") * 80)
+    assert (len(got.citescore_rankings), len(got.jif), len(got.jci_json)) == (60, 50, 80)
+    assert extract(spark, "大类学科</th></tr>" + "." * 6000 + full_table(1).split("</tr>", 1)[1]).xinrui.bigZone == "1区"
+
+
 def test_sections_before_the_last_are_not_bounded(spark):
     far = "大类学科</th></tr>" + "." * 6000 + full_table(1).split("</tr>", 1)[1]
     got = extract(spark, far + full_table(2))
@@ -151,7 +162,7 @@ def test_citescore(spark):
     assert (two.cite_score, len(two.citescore_rankings)) == ("", 2)
     assert extract(spark, ranks).citescore_rankings == []  # no CiteScore row, no rankings
     late = "<th>CiteScore</th>" + "." * 2000 + "</tr><tr><td>1</td><td>2</td><td>3</td></tr>"
-    assert extract(spark, late).cite_score == ""
+    assert extract(spark, late).cite_score == "1"  # however far the data row is
 
 
 def subject(name: str, quartile: str = "Q1") -> str:
@@ -164,9 +175,9 @@ def test_subject_rankings(spark):
     assert [tuple(r) for r in got.jci_json] == [("C", "SCIE", "Q1", "3/50")]
     swapped = extract(spark, "按JCI指标学科分区" + subject("C") + "按JIF指标学科分区" + subject("A"))
     assert [r.subject for r in swapped.jif] == ["A"]
-    assert [r.subject for r in swapped.jci_json] == ["C", "A"]  # a JCI section has a fixed length
+    assert [r.subject for r in swapped.jci_json] == ["C"]  # a section ends at the next header
     far = extract(spark, "按JIF指标学科分区" + "." * 3000 + subject("A"))
-    assert far.jif == []
+    assert [r.subject for r in far.jif] == ["A"]
 
 
 def test_quality_gate(spark):

@@ -10,6 +10,7 @@ from venuedir.functions.text import trim_space
 
 _DOUBLE = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 _INTEGER = r"^\s*([+-]?\d+)"
+_FLOAT_TEXT = r"^-?\d\.\d+E-?\d+$"
 
 
 def null_sentinel(col: Column) -> Column:
@@ -23,8 +24,12 @@ def lenient_double(col: Column) -> Column:
 
 
 def lenient_int(col: Column) -> Column:
-    """Leading whole number of a text; the text of a JSON number truncates the same way."""
-    return F.regexp_extract(col, _INTEGER, 1).try_cast("int")
+    """Leading whole number of a text; a JSON number is cut towards zero.
+
+    Large and small JSON numbers arrive in the form ``1.0E7`` and are read as such, NULL outside
+    the int range. A JSON string spelled exactly like that cannot be told apart; ``"1e7"`` stays 1.
+    """
+    return F.when(col.rlike(_FLOAT_TEXT), truncated_int(col.try_cast("double"))).otherwise(F.regexp_extract(col, _INTEGER, 1).try_cast("int"))
 
 
 def truncated_int(col: Column) -> Column:

@@ -61,10 +61,20 @@ def lookup_users(users: DataFrame, names: DataFrame) -> DataFrame:
 def update_tags(user_tags: DataFrame, updates: DataFrame) -> DataFrame:
     """Rename or recolour: ``updates(user_id, name, new_name, new_color)``.
 
-    Only the owner's own tags are touched. Favourites keep the old name.
+    Only the owner's own tags are touched, and ``(user_id, name)`` stays unique: of several
+    updates of one tag the greatest ``(new_name, new_color)`` counts; a rename onto a name the user
+    has before the batch, or that a smaller name claims, is not done, nor its colour. Favourites keep the old name.
     """
-    change = updates.select("user_id", "name", "new_name", "new_color")
-    joined = user_tags.join(change, ["user_id", "name"], "left")
+    change = updates.groupBy("user_id", "name").agg(F.max(F.struct("new_name", "new_color")).alias("_to")).select(
+        "user_id", "name", "_to.new_name", "_to.new_color")
+    own = user_tags.select("user_id", "name")
+    change = change.join(own, ["user_id", "name"], "left_semi")
+    renames = change.where("new_name <> name")
+    free = renames.join(own.withColumnRenamed("name", "new_name"), ["user_id", "new_name"], "left_anti")
+    winners = free.groupBy("user_id", "new_name").agg(F.min("name").alias("name")).select("user_id", "name")
+    done = change.where("new_name is null or new_name = name").unionByName(
+        renames.join(winners, ["user_id", "name"], "left_semi"))
+    joined = user_tags.join(done, ["user_id", "name"], "left")
     new_values = {
         "name": F.coalesce("new_name", "name"),
         "color": F.coalesce("new_color", "color"),

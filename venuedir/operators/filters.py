@@ -25,7 +25,6 @@ ZONE_SYSTEMS = {
 # Phrases of a page served instead of content.
 BLOCKED_PHRASES = ["速度过快", "过于频繁"]
 MIN_PAGE_CHARS = 1000
-MIN_BATCH_PAGE_CHARS = 500
 
 
 def of_type(kind: str) -> Column:

@@ -19,7 +19,7 @@ from venuedir.functions.text import (
 )
 from venuedir.functions.zones import index_category
 from venuedir.operators.filters import MIN_PAGE_CHARS, is_blocked_page
-from venuedir.operators.partitions import VERSIONS, with_partitions
+from venuedir.operators.partitions import TABLE_HEADER, VERSIONS, with_partitions
 
 # Output column -> label of its table cell. Fixed values.
 CELL_LABELS = {
@@ -45,16 +45,15 @@ CELL_LABELS = {
 }
 SHARED_EXPERIENCE = "网友分享经验"
 
-# Other fixed values: headers and phrases of a page, the characters a section may
-# span, and the patterns of its fields and rows.
-CITESCORE_HEADER, CITESCORE_CHARS = ">CiteScore</th>", 2000
-RANKING_HEADER, RANKING_CHARS = ">CiteScore排名</th>", 3000
+# Other fixed values: headers and phrases of a page, and the patterns of its fields and rows.
+CITESCORE_HEADER = ">CiteScore</th>"
+RANKING_HEADER = ">CiteScore排名</th>"
 RANKING_WORDS = ["大类", "小类", "学科"]
-JIF_HEADER, JIF_CHARS = "按JIF指标学科分区", 3000
-JCI_HEADER, JCI_CHARS = "按JCI指标学科分区", 2000
+JIF_HEADER = "按JIF指标学科分区"
+JCI_HEADER = "按JCI指标学科分区"
 
 # Fields behind a fixed text as (the text, the rest of the pattern).
-_NAME = ("期刊名字</span>", r'.*?alt="([^"]+)"')
+_NAME = ("期刊名字</span>", r'(?-i:.*?alt="([^"]+)")')
 _H_INDEX = ("(?i)h-index", rf".*?</td>{WS}*<td[^>]*>{WS}*(\d+){WS}*<")
 _ARTICLES = ("(?i)<td[^>]*>年文章数", rf'.*?</td>{WS}*<td[^>]*colspan="2"[^>]*>(.*?)</td>')
 _SCORE = ("(?i)LetPub评分", r".*?font-size:24px[^>]*>([\d.]+)")
@@ -102,25 +101,30 @@ def _cell(column: str) -> Column:
 def _with_sections(pages: DataFrame) -> DataFrame:
     """Cut out the sections that are searched for repeated rows; NULL where there is none.
 
-    Positions are columns of their own, so that each header is looked for once.
+    A section ends where the next one begins, at a later header of another kind, or with the page.
+    The CiteScore data row needs no end, as its own tags delimit it. Positions are columns of their
+    own, so that each header is looked for once.
     """
     html = F.col("html")
     staged = pages.withColumns({
         "_citescore_at": F.instr(html, CITESCORE_HEADER), "_ranking_at": F.instr(html, RANKING_HEADER),
         "_jif_at": F.instr(html, JIF_HEADER), "_jci_at": F.instr(html, JCI_HEADER)})
 
-    def window(at: Column, chars: Column) -> Column:
-        return F.when(at > 0, F.substring(html, at, chars))
+    def section(name: str, others: list[str]) -> Column:
+        at = F.col(name)
+        tables = F.locate(TABLE_HEADER, html, 1)
+        later = [F.when(F.col(o) > at, F.col(o)) for o in others] + [F.when(tables > at, tables)]
+        end = F.coalesce(F.least(*later), F.length(html) + 1)
+        return F.when(at > 0, F.substring(html, at, end - at))
 
-    jif, jci = F.col("_jif_at"), F.col("_jci_at")
     staged = staged.withColumns({
-        "_citescore_row": citescore_row(window(F.col("_citescore_at"), F.lit(CITESCORE_CHARS))),
-        # The JIF section ends where a later JCI section begins.
-        "_jif_section": window(jif, F.when(jci > jif, jci - jif).otherwise(JIF_CHARS)),
-        "_jci_section": window(jci, F.lit(JCI_CHARS)),
+        "_citescore_row": citescore_row(F.when(F.col("_citescore_at") > 0, F.substring(
+            html, F.col("_citescore_at"), F.length(html)))),
+        "_jif_section": section("_jif_at", ["_jci_at", "_ranking_at"]),
+        "_jci_section": section("_jci_at", ["_jif_at", "_ranking_at"]),
     })
     # Rankings count only on pages that have a CiteScore data row.
-    rankings = window(F.col("_ranking_at"), F.lit(RANKING_CHARS))
+    rankings = section("_ranking_at", ["_jif_at", "_jci_at"])
     return staged.withColumns({
         "_numbers": citescore_numbers(F.col("_citescore_row")),
         "_ranking_section": F.when(F.col("_citescore_row") != "", rankings),

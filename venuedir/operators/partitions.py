@@ -14,11 +14,9 @@ from pyspark.sql import functions as F
 from venuedir import schema
 from venuedir.functions.text import WS, strip_markup
 
-# The header that starts a partition table, the three versions in
-# page order, and the bound of the last section.
+# The header that starts a partition table and the three versions in page order.
 TABLE_HEADER = "大类学科</th>"
 VERSIONS = ["xinrui", "cas2025", "cas2023"]
-LAST_SECTION_CHARS = 5000
 CELLS_NEEDED = 4
 
 # Cuts in front of tags, and the tags that open and close a level.
@@ -62,15 +60,8 @@ def _balanced(levels: Column, depth: int) -> Column:
 
 
 def sections(html: Column) -> Column:
-    """Text behind each table header; the last section of a page is bounded."""
-    return F.split(html, TABLE_HEADER, len(VERSIONS) + 2)
-
-
-def _section(parts: Column, number: int) -> Column:
-    text = F.get(parts, F.lit(number))
-    last = F.size(parts) == number + 1
-    bound = LAST_SECTION_CHARS - len(TABLE_HEADER)
-    return F.when(last, F.substring(text, 1, bound)).otherwise(text)
+    """Text behind each table header; the last section reaches to the end of the page."""
+    return F.split(html, TABLE_HEADER, -1)
 
 
 def _columns(prefix: str) -> list[str]:
@@ -88,7 +79,7 @@ def with_partitions(pages: DataFrame, html: str = "html") -> DataFrame:
     staged = pages.withColumn("_parts", sections(F.col(html)))
     # From the first row behind the header row to the end of the section.
     staged = staged.withColumns({
-        c: F.regexp_extract(_section(parts, i + 1), r"(?s)\A(?>.*?</tr>).*?(<tr.*)\z", 1)
+        c: F.regexp_extract(F.get(parts, F.lit(i + 1)), r"(?s)\A(?>.*?</tr>).*?(<tr.*)\z", 1)
         for i, c in enumerate(_columns("tail"))})
     staged = staged.withColumns({
         c: F.split(F.col(t), _ROW_CUT) for c, t in zip(_columns("rows"), _columns("tail"))})
@@ -105,7 +96,7 @@ def with_partitions(pages: DataFrame, html: str = "html") -> DataFrame:
     staged = staged.withColumns({version: _partition(F.col(c), F.col(r))
                                  for version, c, r in zip(VERSIONS, _columns("cells"), _columns("row"))})
     return staged.select(*pages.columns, *VERSIONS,
-                         F.least(F.size(parts) - 1, F.lit(len(VERSIONS))).alias("partition_tables"))
+                         (F.size(parts) - 1).alias("partition_tables"))
 
 
 def _first_row(pieces: Column) -> Column:

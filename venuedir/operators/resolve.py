@@ -81,11 +81,12 @@ def _with_answer(rows: DataFrame, candidates: DataFrame, kind: str, key: Column,
     in one task.
     """
     found = answers(candidates, kind).select(
-        F.col("query_key").alias("_key"), F.lit(0).alias("_spread"),
+        F.col("query_key").alias("_key"), F.lit(0).cast("long").alias("_spread"),
         *[F.col(c).alias(f"_{kind}_{c}") for c in columns])
-    spread = F.when(key.isNull(), F.pmod(F.xxhash64("full", "abbr"), F.lit(1000)) + 1).otherwise(0)
+    own = F.coalesce(F.nullif(F.xxhash64("full", "abbr"), F.lit(0)), F.lit(1))
+    spread = F.when(key.isNull(), own).otherwise(0)
     keyed = rows.withColumns({
-        "_key": F.coalesce(key, F.lit("")), "_spread": spread.cast("int")})
+        "_key": F.coalesce(key, F.lit("")), "_spread": spread.cast("long")})
     return lookup(keyed, found, ["_key", "_spread"]).drop("_key", "_spread")
 
 

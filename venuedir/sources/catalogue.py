@@ -90,10 +90,7 @@ def load_if_absent(entries: DataFrame, path: str) -> None:
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """The catalogue table; files written before a column existed read it as NULL."""
-    rows = spark.read.option("mergeSchema", True).parquet(path)
-    missing = {f.name: F.lit(None).cast(f.dataType) for f in schema.ENTRY if f.name not in rows.columns}
-    return rows.withColumns(missing).select(*schema.ENTRY_COLUMNS) if missing else rows.select(
-        *schema.ENTRY_COLUMNS)
+    return spark.read.schema(schema.ENTRY).parquet(path).select(*schema.ENTRY_COLUMNS)
 
 
 def export_records(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
