@@ -7,7 +7,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from parity import derived
+from parity import REGISTRY, derived
 from venuedir.operators import facets, ledger, paging, replay, skew
 
 QUERIES = driver.queries()
@@ -19,7 +19,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - EAGER))
 def test_no_python_and_no_nested_loop(spark, name):
     text = plan(QUERIES[name](spark, SMALL))
     for node in ("PythonUDF", "EvalPython", "InPandas", "InArrow", "CartesianProduct", "NestedLoopJoin"):
