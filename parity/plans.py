@@ -18,10 +18,15 @@ from venuedir.sources import catalogue
 from venuedir.streaming.changes import ChangeStore, start_replay
 
 
+#: Files the events arrive in; a trigger takes one.
+BATCHES = 5
+
+
 def streamed(spark, sf) -> ChangeStore:
-    """Replay the events as a file stream until it is drained."""
-    source = spark.readStream.schema(d.table(spark, sf, "events").schema).option(
-        "pathGlobFilter", "events.parquet").parquet(sf)
+    """Replay the events as a file stream of several micro-batches, each reaching over the whole time."""
+    events, arrived = d.table(spark, sf, "events"), shared_dir(spark, "arrived")
+    events.repartition(BATCHES).write.parquet(arrived)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
     ops = source.selectExpr(*[f"{sql} as {name}" for name, sql in d.OPERATION_EXPRESSIONS.items()])
     store = ChangeStore(shared_dir(spark, "changes"), buckets=4)
     start_replay(ops.withColumn("tags", decode_tags(F.col("tags"))), store).awaitTermination()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from parity import REGISTRY, derived
-from venuedir.operators import facets, ledger, paging, replay, skew
+from venuedir.operators import facets, ledger, paging, replay
 
 QUERIES = driver.queries()
 EAGER = {"stored_entries", "stored_entries_filtered", "exported_entries", "stream_replay", "stream_replay_notes", "build_catalogue", "build_outcomes", "build_rejects",
@@ -47,12 +47,13 @@ def test_scan_reads_only_the_columns_of_a_filter(spark):
     assert "PushedFilters: [In(p_type, [ECONOMY,PROMO])" in text
 
 
-def test_hot_key_report_is_small_and_finds_the_key(spark):
-    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
-    got = skew.hot_keys(rows, ["k"], 10_000).collect()
-    assert [r[0] for r in got] == [spark.range(1).select(F.xxhash64(F.lit(-1).cast("long"))).first()[0]]
-    hot, rest = skew.split_hot(rows, ["k"], 10_000)
-    assert (hot.count(), rest.count()) == (20_000, 40_000)
+def test_owner_reaches_every_scan_of_the_replay(spark):
+    """Two reads of the log, and both are cut to the owner's rows by the scan's filters."""
+    own = derived.operations(spark, SMALL)
+    got = replay.replay_favorites(own).where("owner_kind = 'user' and owner_id = '2'")
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Relation [") == 2 and text.count("= 2)") == 2
+    assert "approx_top_k" not in text and "Window" not in text
 
 
 @pytest.fixture
@@ -70,15 +71,6 @@ def settings(spark):
         spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def test_chunks_are_runs_of_bounded_size(spark, settings):
-    settings({"spark.sql.adaptive.coalescePartitions.enabled": "false"})
-    rows = spark.range(40_000).select(F.lit("hot").alias("k"), ((F.col("id") * 7919) % 40_000).alias("o"))
-    cut = skew.with_chunks(rows, ["k"], ["o"]).groupBy("chunk").agg(
-        F.min("o").alias("lo"), F.max("o").alias("hi"), F.count("*").alias("n")).orderBy("lo").collect()
-    assert len(cut) > 1 and all(c.hi - c.lo + 1 == c.n for c in cut)
-    assert max(c.n for c in cut) < 25_000
-
-
 def test_lookup_splits_a_skewed_side(spark, settings):
     """A third of the rows share one key; the join with an aggregated table is cut."""
     settings({"spark.sql.autoBroadcastJoinThreshold": "-1",

@@ -7,8 +7,6 @@ repeated event changes nothing, so replays may overlap.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +14,7 @@ from pyspark.sql import functions as F
 from venuedir import schema
 from venuedir.functions.tags import no_tags
 from venuedir.functions.text import trim_space
-from venuedir.operators.skew import HOT_ROWS, split_hot, with_chunks
+from venuedir.operators.skew import lookup
 
 # Fixed values.
 FAV_ADD = "fav_add"
@@ -31,63 +29,33 @@ NOTE_OPS = [NOTE_UPSERT, NOTE_DELETE]
 KEY = schema.ANNOTATION_KEY
 
 
-def _behind_last_remove(ops: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Operations behind the last remove of each group, and that remove.
-
-    A running count from the newest operation on, so nothing is buffered but the sort.
-    """
-    newest_first = W.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("event_id"))
-    running = newest_first.rowsBetween(W.unboundedPreceding, W.currentRow)
-    removes = F.count_if(F.col("op") == FAV_REMOVE).over(running)
-    counted = ops.withColumn("_removes", removes)
-    last = (F.col("_removes") == 1) & (F.col("op") == FAV_REMOVE)
-    return counted.where((F.col("_removes") == 0) | last).drop("_removes")
-
-
-def _first_add_last_tags(ops: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per group: ``_add`` and ``_tags``, the first add and the last tag operation."""
-    stamped = F.struct("ts", "event_id", "tags")
-    return ops.groupBy(*keys).agg(
-        F.min(F.when(F.col("op") == FAV_ADD, stamped)).alias("_add"),
-        F.max(F.when(F.col("op") == FAV_TAGS, stamped)).alias("_tags"),
-        F.max(F.when(F.col("op") == FAV_REMOVE, stamped)).alias("_remove"),
-    )
-
-
-def _condensed(ops: DataFrame) -> DataFrame:
-    """The same log with at most three operations per key and chunk of consecutive ones.
-
-    Of a run of operations only the last remove, the first add behind it and the last
-    tag operation behind it can matter, whatever comes before or after the run.
-    """
-    keys = [*KEY, "chunk"]
-    chunks = _first_add_last_tags(
-        _behind_last_remove(with_chunks(ops, KEY, ["ts", "event_id"]), keys), keys)
-    parts = F.array(*[
-        F.struct(F.lit(op).alias("op"), F.col(c).isNotNull().alias("_there"), F.col(c).alias("_op"))
-        for op, c in ((FAV_REMOVE, "_remove"), (FAV_ADD, "_add"), (FAV_TAGS, "_tags"))])
-    rows = chunks.select(*KEY, F.inline(parts)).where("_there")
-    return rows.select(*KEY, "op", "_op.ts", "_op.event_id", "_op.tags")
+def _behind_last_remove(rows: DataFrame, removes: DataFrame) -> DataFrame:
+    """``rows`` newer than the ``_remove`` of their key in ``removes``, or without one."""
+    marked = lookup(rows, removes.select(*KEY, F.struct("_remove.ts", "_remove.event_id").alias("_gone")), KEY)
+    newer = F.struct("ts", "event_id") > F.col("_gone")
+    return marked.where(F.col("_gone").isNull() | newer).drop("_gone")
 
 
-def replay_favorites(ops: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def replay_favorites(ops: DataFrame) -> DataFrame:
     """Live favourites: ``(owner_kind, owner_id, entry_id, tags, created_at)``.
 
     An add counts only while the favourite is absent, so the first add after the
     last remove is the live one; it dates the row. The newest tag operation behind
     that add sets the tags; earlier ones, and those of absent favourites, do nothing.
-    Among the operations behind the last remove these are the first add and, if it
-    is newer than that add, the last tag operation.
 
-    One shuffle by key; window and aggregate share it. Keys with ``hot_rows``
-    operations or more are condensed in ordered chunks first, so that no task ever
-    holds one of them whole.
+    Two combining aggregates around a skew-tolerant join: the rows of one key are
+    never sorted, nor gathered in one task, however many there are. A filter on the
+    owner reaches both reads of ``ops``.
     """
     own = ops.where(F.col("op").isin(FAVORITE_OPS)).select(*KEY, "op", "ts", "event_id", "tags")
-    hot, rest = split_hot(own, KEY, hot_rows)
-    log = rest.unionByName(_condensed(hot))
-    live = _behind_last_remove(log, KEY).where(F.col("op") != FAV_REMOVE)
-    state = _first_add_last_tags(live, KEY).where(F.col("_add").isNotNull())
+    removes = own.where(F.col("op") == FAV_REMOVE).groupBy(*KEY).agg(
+        F.max(F.struct("ts", "event_id")).alias("_remove"))
+    live = _behind_last_remove(own.where(F.col("op") != FAV_REMOVE), removes)
+    stamped = F.struct("ts", "event_id", "tags")
+    state = live.groupBy(*KEY).agg(
+        F.min(F.when(F.col("op") == FAV_ADD, stamped)).alias("_add"),
+        F.max(F.when(F.col("op") == FAV_TAGS, stamped)).alias("_tags"),
+    ).where(F.col("_add").isNotNull())
     position = {c: F.struct(f"{c}.ts", f"{c}.event_id") for c in ("_add", "_tags")}
     retagged = F.coalesce(position["_tags"] > position["_add"], F.lit(False))
     tags = F.when(retagged, F.col("_tags.tags")).otherwise(F.col("_add.tags"))
@@ -95,6 +63,24 @@ def replay_favorites(ops: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
                         F.col("_add.ts").alias("created_at"))
 
 
+def condensed(ops: DataFrame) -> DataFrame:
+    """The operations that can still matter, whatever operations arrive later.
+
+    Per key these are the last remove, the adds behind it, the last tag operation and
+    the last note operation. Replaying them, with any others added, gives what
+    replaying the whole log with those others gives.
+    """
+    stamped = F.struct("ts", "event_id", "op", "tags", "content")
+    last = ops.groupBy(*KEY).agg(
+        F.max(F.when(F.col("op") == FAV_REMOVE, stamped)).alias("_remove"),
+        F.max(F.when(F.col("op") == FAV_TAGS, stamped)).alias("_tags"),
+        F.max(F.when(F.col("op").isin(NOTE_OPS), stamped)).alias("_note"))
+    kept = last.select(*KEY, F.explode(F.array("_remove", "_tags", "_note")).alias("_op"))
+    kept = kept.where(F.col("_op").isNotNull()).select(*KEY, "_op.*")
+    adds = ops.where(F.col("op") == FAV_ADD).select(*kept.columns)
+    return kept.unionByName(_behind_last_remove(adds, last).distinct())
+
+
 def latest(rows: DataFrame, keys: list[str], *newest_first: Column) -> DataFrame:
     """The newest row per key. Spark cuts every group to one row before the shuffle."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*newest_first))

@@ -1,4 +1,4 @@
-"""Keys that hold a large share of the rows."""
+"""Joins that bear keys with a large share of the rows."""
 
 from __future__ import annotations
 
@@ -7,52 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key with fewer rows than this is no burden for one task.
-HOT_ROWS = 1_000_000
-# The sketch follows this many keys and reports this many of them. Any key with more
-# than a few ten-thousandths of all rows is among them, and the report is small
-# enough to broadcast whatever the size of the data.
-TRACKED_KEYS, REPORTED_KEYS = 10_000, 1_000
-
-
 def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*keys)
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """Hashes of the heaviest keys with at least ``min_rows`` rows, at most 1,000 of them.
-
-    One scan of the key columns into a mergeable sketch; no shuffle by key. Only use
-    it to choose how rows are processed, as the counts are approximate.
-    """
-    top = F.call_function("approx_top_k", F.col("_hash"), F.lit(REPORTED_KEYS), F.lit(TRACKED_KEYS))
-    report = rows.select(key_hash(keys).alias("_hash")).agg(top.alias("_top"))
-    heavy = report.select(F.inline("_top")).where(F.col("count") >= min_rows)
-    return heavy.select(F.col("item").alias("_hash"))
-
-
-def split_hot(rows: DataFrame, keys: Sequence[str],
-              min_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """``(hot, rest)``: rows of the heaviest keys, and all others.
-
-    Without a heavy key the hot half is found empty at run time and costs nothing.
-    """
-    heavy = F.broadcast(hot_keys(rows, keys, min_rows))  # at most REPORTED_KEYS rows
-    marked = rows.withColumn("_hash", key_hash(keys))
-    hot = marked.join(heavy, "_hash", "left_semi").drop("_hash")
-    rest = marked.join(heavy, "_hash", "left_anti").drop("_hash")
-    return hot, rest
-
-
-def with_chunks(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Cut the rows of every key into ordered runs of bounded size, numbered by ``chunk``.
-
-    Range partitioning by key and order: a partition holds a run of consecutive rows,
-    and a key with many rows spreads over many partitions.
-    """
-    return rows.repartitionByRange(*keys, *order).withColumn("chunk", F.spark_partition_id())
-
-
 def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join with a table that is unique by ``keys``; ``rows`` may be skewed by them.
 

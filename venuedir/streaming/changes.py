@@ -1,17 +1,19 @@
 """Continuous replay of favourites and notes.
 
-A late remove can bring a later add, already discarded, back to life, so a state of
-constant size per key cannot be kept. The operation log is the truth: each
-micro-batch is appended to it, the keys it touches are replayed from their whole
-history with the batch operators, and their new state is written as a version.
-
-Both tables are append-only and every file belongs to a batch id. A batch that is
-run again after a failure overwrites its own files, so the result is the same.
+A late remove can bring a later add back to life, so the current favourites alone are
+not enough to go on from. The operations that can still matter are: they are few, and
+replaying them gives the state (``replay.condensed``). The store keeps these, divided
+into buckets of keys. A micro-batch reads the newest version of the buckets it
+touches, adds its operations, condenses, and writes the next version, so what it reads
+grows with the live state and not with the history.
+
+Every file belongs to a batch id. A batch that is run again after a failure reads
+versions of earlier batches only and overwrites its own, so the result is the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -21,22 +23,19 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from venuedir import schema
-from venuedir.operators.replay import latest, replay_favorites, replay_notes
-from venuedir.operators.skew import lookup
+from venuedir.operators.replay import condensed, replay_favorites, replay_notes
 
 KEY = schema.ANNOTATION_KEY
-FAVORITES, NOTES = "favorites", "notes"
-_LOG = T.StructType([*schema.OPERATION.fields, T.StructField("bucket", T.IntegerType())])
-REPLAYS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    FAVORITES: replay_favorites, NOTES: replay_notes}
+_STORED = T.StructType([*schema.OPERATION.fields, T.StructField("batch_id", T.LongType()),
+                        T.StructField("bucket", T.IntegerType())])
 
 
 @dataclass(frozen=True)
 class ChangeStore:
-    """Operation log and state versions below one shared path.
+    """Versions of the condensed operation log below one shared path.
 
-    ``buckets`` divides the keys; a batch reads the log of its own buckets only. It
-    is fixed for the life of the store and should grow with the log.
+    ``buckets`` divides the keys and is fixed for the life of the store; choose it so
+    that the live operations of one bucket are some hundred megabytes.
     """
 
     path: str
@@ -45,80 +44,82 @@ class ChangeStore:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*KEY), F.lit(self.buckets)).cast("int")
 
+    @property
+    def _versions_path(self) -> str:
+        return f"{self.path}/operations"
+
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch: log it, replay the touched keys, write their state."""
+        """One micro-batch: merge its operations into the buckets they touch."""
         spark = batch.sparkSession
-        log_part = f"{self.path}/log/batch_id={batch_id}"
-        ops = batch.select(*schema.OPERATION.fieldNames()).withColumn("bucket", self._bucket())
-        ops.write.mode("overwrite").partitionBy("bucket").parquet(log_part)
+        incoming = f"{self.path}/incoming/batch_id={batch_id}"
+        batch.select(*schema.OPERATION.fieldNames()).withColumn("bucket", self._bucket()).write.mode(
+            "overwrite").parquet(incoming)
 
         # Read back: from here on nothing depends on the source being repeatable.
-        written = spark.read.schema(_LOG).parquet(log_part)
-        touched = written.select(*KEY).distinct()
-        buckets = [r.bucket for r in written.select("bucket").distinct().collect()]  # <= self.buckets
-        if not buckets:
+        ops = spark.read.parquet(incoming)
+        touched = {r.bucket for r in ops.select("bucket").distinct().collect()}  # <= self.buckets
+        if not touched:
             return
-        own = self._log(spark).where(F.col("bucket").isin(buckets))
-        history = lookup(own, touched, KEY, "left_semi")
-        for name, replay in REPLAYS.items():
-            state = replay(history).withColumn("live", F.lit(True))
-            version = touched.join(state, KEY, "left").withColumn(
-                "live", F.coalesce("live", F.lit(False)))
-            version.write.mode("overwrite").parquet(f"{self.path}/{name}/batch_id={batch_id}")
-
-    def _log(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(T.StructType([*_LOG.fields, T.StructField("batch_id", T.LongType())])).parquet(f"{self.path}/log")
-
-    def log(self, spark: SparkSession) -> DataFrame:
-        """All operations so far."""
-        return self._log(spark).select(*schema.OPERATION.fieldNames())
-
-    def state(self, spark: SparkSession, name: str) -> DataFrame:
-        """Current rows of ``favorites`` or ``notes``: the newest version per key, if live.
-
-        Versions older than the newest compaction are not read.
-        """
-        base = self._base(spark, name)
-        rows = spark.read.parquet(f"{self.path}/{name}").where(F.col("batch_id") > base)
-        if base >= 0:
-            compacted = spark.read.parquet(f"{self.path}/{name}_base/upto={base}")
-            rows = rows.unionByName(compacted.withColumns(
-                {"live": F.lit(True), "batch_id": F.lit(base)}))
-        newest = latest(rows, KEY, F.desc("batch_id"))
-        return newest.where("live").drop("live", "batch_id")
-
-    def favorites(self, spark: SparkSession) -> DataFrame:
-        return self.state(spark, FAVORITES)
-
-    def notes(self, spark: SparkSession) -> DataFrame:
-        return self.state(spark, NOTES)
-
-    def _base(self, spark: SparkSession, name: str) -> int:
-        """Batch id up to which the state is compacted, -1 when it is not."""
+        before = {b: v for b, v in self._newest(spark, batch_id - 1).items() if b in touched}
+        merged = condensed(ops.drop("bucket").unionByName(self._read(spark, before)))
+        # Splits a bucket with very many live operations, joins small ones.
+        spread = merged.withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
+        spread.write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{self._versions_path}/batch_id={batch_id}")
+
+    def _versions(self, spark: SparkSession) -> list[tuple[int, int]]:
+        """``(bucket, batch_id)`` of every stored version, from the folder names."""
         try:
-            marks = spark.read.parquet(f"{self.path}/{name}_marks")
+            files = spark.read.schema(_STORED).parquet(self._versions_path).inputFiles()
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return -1
-        return marks.agg(F.max("upto")).first()[0]
+            return []
+        found = {re.search(r"/batch_id=(\d+)/bucket=(\d+)/", name).groups() for name in files}
+        return [(int(bucket), int(batch)) for batch, bucket in found]
+
+    def _newest(self, spark: SparkSession, upto: int | None = None) -> dict[int, int]:
+        """Bucket to its newest version, of the batches up to ``upto``."""
+        newest: dict[int, int] = {}
+        for bucket, batch_id in self._versions(spark):
+            if upto is None or batch_id <= upto:
+                newest[bucket] = max(batch_id, newest.get(bucket, -1))
+        return newest
+
+    def _read(self, spark: SparkSession, versions: dict[int, int]) -> DataFrame:
+        if not versions:
+            return spark.createDataFrame([], schema.OPERATION)
+        paths = [self._folder(bucket, batch_id) for bucket, batch_id in sorted(versions.items())]
+        stored = spark.read.schema(_STORED).option("basePath", self._versions_path).parquet(*paths)
+        return stored.select(*schema.OPERATION.fieldNames())
+
+    def _folder(self, bucket: int, batch_id: int) -> str:
+        return f"{self._versions_path}/batch_id={batch_id}/bucket={bucket}"
+
+    def operations(self, spark: SparkSession) -> DataFrame:
+        """The operations that still matter."""
+        return self._read(spark, self._newest(spark))
+
+    def favorites(self, spark: SparkSession) -> DataFrame:
+        return replay_favorites(self.operations(spark))
+
+    def notes(self, spark: SparkSession) -> DataFrame:
+        return replay_notes(self.operations(spark))
 
     def compact(self, spark: SparkSession, upto: int) -> None:
-        """Write the state up to a finished batch in one piece, then mark it as readable.
+        """Free what finished batches up to ``upto`` have superseded.
 
-        The mark comes last: a compaction that dies on the way is never read.
+        Only folders with a newer finished version, and input already merged, go; a
+        compaction that dies on the way can simply run again.
         """
-        for name in REPLAYS:
-            rows = spark.read.parquet(f"{self.path}/{name}").where(F.col("batch_id") <= upto)
-            base = self._base(spark, name)
-            if base >= 0:
-                compacted = spark.read.parquet(f"{self.path}/{name}_base/upto={base}")
-                rows = rows.where(F.col("batch_id") > base).unionByName(compacted.withColumns(
-                    {"live": F.lit(True), "batch_id": F.lit(base)}))
-            newest = latest(rows, KEY, F.desc("batch_id")).where("live").drop("live", "batch_id")
-            newest.write.mode("overwrite").parquet(f"{self.path}/{name}_base/upto={upto}")
-            spark.range(1).select(F.lit(upto).alias("upto")).write.mode("append").parquet(
-                f"{self.path}/{name}_marks")
+        newest = self._newest(spark, upto)
+        old = [self._folder(b, v) for b, v in self._versions(spark) if v < newest.get(b, -1)]
+        merged = spark.read.schema(_STORED).parquet(f"{self.path}/incoming").inputFiles()
+        batches = {int(re.search(r"/batch_id=(\d+)/", name).group(1)) for name in merged}
+        old += [f"{self.path}/incoming/batch_id={b}" for b in batches if b <= upto]
+        for folder in old:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def start_replay(operations: DataFrame, store: ChangeStore, available_now: bool = True,
