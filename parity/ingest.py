@@ -60,6 +60,26 @@ def keyed_documents(spark, sf):
         "concat('{\"S', cast(s_suppkey as string), '\":{\"issn\":\"', lpad(cast(s_suppkey as string), 8, '0'), '\"}}') as value")
 
 
+def cut_documents(documents, cut):
+    """The same texts, some of them without their last character."""
+    return documents.selectExpr(f"case when {cut} then left(value, length(value) - 1) else value end as value")
+
+
+def combined_documents(spark, sf):
+    """``{journals: [], conferences: []}`` documents, one per part; every seventh is cut off."""
+    documents = d.table(spark, sf, "part").selectExpr(
+        "p_partkey", "to_json(named_struct('journals', array(named_struct('ccfAbbr', p_brand, 'ccfFull', p_name)), "
+        "'conferences', array(named_struct('abbr', p_type, 'full', cast(p_partkey as string))))) as value")
+    return cut_documents(documents, "p_partkey % 7 = 3")
+
+
+def imported_documents(spark, sf):
+    journals, conferences, rejected = records.import_records(combined_documents(spark, sf))
+    return (journals.selectExpr("'journal' as kind", "ccfAbbr as abbr", "ccfFull as full")
+            .unionByName(conferences.selectExpr("'conference' as kind", "abbr", "full"))
+            .unionByName(rejected.selectExpr("'rejected' as kind", "reject_reason as abbr", "cast(null as string) as full")))
+
+
 def flat_entries(rows):
     return rows.select(
         "type", "ccf_domain", "ccf_level", "ccf_abbr", "ccf_full", "ccf_publisher", "publisher", "issn",
@@ -111,6 +131,16 @@ QUERIES = {
         lambda spark, sf: records.flatten_by_domain(domain_documents(spark, sf)),
         "select p_type as domain, p_brand as abbr, p_name as \"full\", 'A' as level, 'P' as publisher, "
         "cast(p_partkey as string) as url from part"),
+    "import_document": (
+        imported_documents,
+        "select 'journal' as kind, p_brand as abbr, p_name as \"full\" from part where p_partkey%7<>3 "
+        "union all select 'conference', p_type, cast(p_partkey as string) from part where p_partkey%7<>3 "
+        "union all select 'rejected', 'bad_json', null from part where p_partkey%7=3"),
+    "flatten_rejects": (
+        lambda spark, sf: records.keyed_rejects(
+            cut_documents(keyed_documents(spark, sf), "value like '%7\"}}'"), schema.OLDER_METRIC),
+        "select concat('{\"S', cast(s_suppkey as string), '\":{\"issn\":\"', lpad(cast(s_suppkey as string), 8, '0'), '\"}') "
+        "as value, 'bad_json' as reject_reason from supplier where s_suppkey%10=7"),
     "flatten_keyed": (
         lambda spark, sf: records.flatten_keyed(keyed_documents(spark, sf), schema.OLDER_METRIC),
         "select concat('S', cast(s_suppkey as string)) as abbr, lpad(cast(s_suppkey as string), 8, '0') as issn from supplier"),

@@ -37,7 +37,26 @@ def check_import(journals, conferences):
 def test_import_document(spark, tmp_path):
     path = tmp_path / "doc.json"
     path.write_text(json.dumps({"journals": [JOURNAL], "conferences": [CONFERENCE]}, indent=2, ensure_ascii=False))
-    check_import(*records.read_import_document(spark, str(path)))
+    journals, conferences, rejected = records.read_import_document(spark, str(path))
+    check_import(journals, conferences)
+    assert rejected.count() == 0
+
+
+def test_broken_documents_are_reported(spark, tmp_path):
+    whole = json.dumps({"journals": [JOURNAL], "conferences": []}, ensure_ascii=False)
+    for name, text in (("good", whole), ("cut", whole[:-30])):
+        (tmp_path / f"{name}.json").write_text(text)
+    journals, conferences, rejected = records.read_import_document(spark, str(tmp_path))
+    assert (journals.count(), conferences.count()) == (1, 0)
+    assert [(r.value, r.reject_reason) for r in rejected.collect()] == [(whole[:-30], "bad_json")]
+    texts = ['{"AI":[{"abbr":"a"}]}', '{"AI":[{"abbr":"b"}', "[1]", "", None, "{}"]
+    documents = spark.createDataFrame([(t,) for t in texts], "value string")
+    assert [r.abbr for r in records.flatten_by_domain(documents).collect()] == ["a"]
+    bad = [(t, "bad_json") for t in texts[1:5]]
+    assert [tuple(r) for r in records.by_domain_rejects(documents).collect()] == bad
+    keyed = spark.createDataFrame([('{"a":{"issn":"1"}}',), ('{"a":{"issn":',), ("7",)], "value string")
+    assert [r.issn for r in records.flatten_keyed(keyed, schema.OLDER_METRIC).collect()] == ["1"]
+    assert records.keyed_rejects(keyed, schema.OLDER_METRIC).count() == 2
 
 
 def test_import_lines(spark, tmp_path):

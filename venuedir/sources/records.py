@@ -22,10 +22,19 @@ def read_documents(spark: SparkSession, path: str, whole: bool = True) -> DataFr
     return spark.read.text(path, wholetext=whole)
 
 
-def read_import_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(journals, conferences)`` of combined documents ``{journals: [], conferences: []}``."""
-    parsed = spark.read.schema(schema.IMPORT_DOCUMENT).option("multiLine", True).json(path)
-    return parsed.select(F.inline("journals")), parsed.select(F.inline("conferences"))
+def import_records(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(journals, conferences, rejects)`` of combined documents ``{journals: [], conferences: []}``.
+
+    A text that is not such a document gives no records and one reject.
+    """
+    parsed = parse_records(documents, schema.IMPORT_DOCUMENT)
+    good = accepted(parsed)
+    return good.select(F.inline("journals")), good.select(F.inline("conferences")), rejects(parsed)
+
+
+def read_import_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`import_records` of files, one document each."""
+    return import_records(read_documents(spark, path))
 
 
 def parse_records(documents: DataFrame, record: T.StructType,
@@ -58,24 +67,54 @@ def reject_counts(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _parsed_map(documents: DataFrame, of: T.DataType) -> DataFrame:
+    """``value``, and its map from names to ``of`` as ``_map``; NULL where the text is not one."""
+    # As the only field of a record, so that Spark reports texts it can read in part only.
+    shape = T.StructType([T.StructField("_map", T.MapType(T.StringType(), of)), T.StructField(CORRUPT, T.StringType())])
+    wrapped = F.concat(F.lit('{"_map":'), "value", F.lit("}"))
+    parsed = documents.select("value", F.from_json(
+        wrapped, shape, {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}).alias("_r"))
+    return parsed.select("value", F.when(F.col(f"_r.{CORRUPT}").isNull(), F.col("_r._map")).alias("_map"))
+
+
+def _domain_shape(record: T.StructType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([f for f in record.fields if f.name != "domain"]))
+
+
+def _map_rejects(documents: DataFrame, of: T.DataType) -> DataFrame:
+    bad = _parsed_map(documents, of).where(F.col("_map").isNull())
+    return bad.select("value", F.lit(BAD_JSON).alias("reject_reason"))
+
+
 def flatten_by_domain(documents: DataFrame, record: T.StructType = schema.SOURCE_RECORD) -> DataFrame:
     """``{domain: [record, ...]}`` to records stamped with ``domain``.
 
-    The key wins over a field of the same name in the record.
+    The key wins over a field of the same name in the record. A text that is not such
+    a document gives no row here and one in :func:`by_domain_rejects`.
     """
-    fields = [f for f in record.fields if f.name != "domain"]
-    shape = T.MapType(T.StringType(), T.ArrayType(T.StructType(fields)))
-    by_domain = documents.select(F.explode(F.from_json("value", shape)).alias("domain", "_records"))
+    by_domain = _parsed_map(documents, _domain_shape(record)).select(F.explode("_map").alias("domain", "_records"))
     return by_domain.select(F.col("domain"), F.inline("_records"))
 
 
+def by_domain_rejects(documents: DataFrame, record: T.StructType = schema.SOURCE_RECORD) -> DataFrame:
+    """``(value, reject_reason)`` of the texts that :func:`flatten_by_domain` cannot read."""
+    return _map_rejects(documents, _domain_shape(record))
+
+
 def flatten_keyed(documents: DataFrame, record: T.StructType, key: str = "abbr") -> DataFrame:
-    """``{key: record}`` to rows with the key as a column."""
-    shape = T.MapType(T.StringType(), record)
-    rows = documents.select(F.explode(F.from_json("value", shape)).alias(key, "_record"))
+    """``{key: record}`` to rows with the key as a column.
+
+    A text that is not such a document gives no row here and one in :func:`keyed_rejects`.
+    """
+    rows = _parsed_map(documents, record).select(F.explode("_map").alias(key, "_record"))
     return rows.select(key, "_record.*")
 
 
+def keyed_rejects(documents: DataFrame, record: T.StructType) -> DataFrame:
+    """``(value, reject_reason)`` of the texts that :func:`flatten_keyed` cannot read."""
+    return _map_rejects(documents, record)
+
+
 def read_by_domain(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
     return flatten_by_domain(read_documents(spark, path, whole))
 
