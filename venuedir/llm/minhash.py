@@ -28,6 +28,8 @@ COORDINATES, MATCHES = 20, 6
 PERCENT = 80
 #: Members of a block, and shingles of a block's sets.
 BLOCK_ROWS, BLOCK_SHINGLES = 2048, 2_000_000
+#: Bytes of marks compared at once.
+MARK_BYTES = 4_000_000
 _SALTS = np.random.default_rng(77).integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
@@ -137,33 +139,54 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[
 
 
 def spanning_links(sig: np.ndarray, size: np.ndarray, bounds: np.ndarray, percent: int,
-                   confirm: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs ``(left, right)`` that span each group's links.
+                   confirm: Callable[[int, int], bool] | None = None,
+                   possible: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs ``(left, right)`` that span each group's links: every row with the first row it is linked with.
 
     A pair counts if enough coordinates agree, its sizes allow the similarity and ``confirm``
-    (where given) holds. Pairs inside one component are skipped, so a group of m rows gives
-    m - 1 links at most. Groups are compared side by side, one distance after the other.
+    (where given) holds; ``possible`` may rule out pairs before that, many at a time. Pairs inside one
+    component are skipped, and a component of m rows gives m - 1 pairs, a star around its first row, so that
+    joining the components of all groups takes few rounds. Groups are compared side by side, one distance
+    after the other.
     """
     label = np.arange(len(sig))
     group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     room = bounds[1:][group] - np.arange(len(sig))  # rows from here to the group's end
     live = np.flatnonzero(room > 1)
-    left, right, step = [], [], 1
+    step = 1
     while len(live):
         other = live + step
         fits = 100 * np.minimum(size[live], size[other]) >= percent * np.maximum(size[live], size[other])
         fits &= label[live] != label[other]
         a, b = live[fits], other[fits]
         same = (sig[a] == sig[b]).sum(1) >= MATCHES
-        for i, j in zip(a[same].tolist(), b[same].tolist(), strict=True):
+        a, b = a[same], b[same]
+        if possible is not None and len(a):
+            may = possible(a, b)
+            a, b = a[may], b[may]
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
             if label[i] != label[j] and (confirm is None or confirm(i, j)):
                 part = label[bounds[group[i]]:bounds[group[i] + 1]]
-                part[part == label[j]] = label[i]
-                left.append(i)
-                right.append(j)
+                low, high = sorted((label[i], label[j]))
+                part[part == high] = low
         step += 1
         live = live[room[live] > step]
-    return np.array(left, np.int64), np.array(right, np.int64)
+    right = np.flatnonzero(label != np.arange(len(label)))
+    return label[right], right
+
+
+def difference_bits(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """``(sets, words)``: one bit per hashed shingle, some four bits for every shingle of the average set.
+
+    Two sets differ in at least as many shingles as their rows differ in bits, whatever shares a bit.
+    """
+    sets = len(bounds) - 1
+    mean = max(len(value) // max(sets, 1), 16)
+    bits = 1 << int(4 * mean - 1).bit_length()
+    row = np.repeat(np.arange(sets), np.diff(bounds))
+    flags = np.zeros(sets * bits, bool)
+    flags[row * bits + (mix(value) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags.reshape(sets, bits), axis=1).view(np.uint64)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -222,6 +245,17 @@ def confirmed_links(docs: DataFrame, members: DataFrame, key: str, text: str, wo
             n = part.column("n").to_numpy()
             raw = part.column("shingles")
             found: dict[int, np.ndarray] = {}
+            flat = np.frombuffer(b"".join(raw.to_pylist()), np.uint64)
+            marks = difference_bits(flat, np.concatenate([[0], np.cumsum(n)]))
+
+            def possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                united = n[a] + n[b]  # noqa: B023
+                apart = np.empty(len(a), np.int64)
+                width = max(1, MARK_BYTES // marks.shape[1] // 8)  # noqa: B023
+                for k in range(0, len(a), width):
+                    at = slice(k, k + width)
+                    apart[at] = np.bitwise_count(marks[a[at]] ^ marks[b[at]]).sum(1, dtype=np.int64)  # noqa: B023
+                return 100 * (united - apart) >= percent * (united + apart)
 
             def values(i: int) -> np.ndarray:
                 if i not in found:
@@ -236,7 +270,7 @@ def confirmed_links(docs: DataFrame, members: DataFrame, key: str, text: str, wo
                 both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
                 return 100 * both >= percent * (len(a) + len(b) - both)
 
-            left, right = spanning_links(_matrix(part.column("sig")), n, bounds, percent, confirm)
+            left, right = spanning_links(_matrix(part.column("sig")), n, bounds, percent, confirm, possible)
             rep = part.column("rep").combine_chunks()
             yield pa.RecordBatch.from_arrays([rep.take(pa.array(left)), rep.take(pa.array(right))], ["u", "v"])
 
@@ -255,7 +289,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, key
     seen = staged(describe(docs, key, text, words), "signatures")
     full = seen.where("n > 0 and key is not null")
     classes = staged(full.groupBy("n", "f1", "f2").agg(F.min("key").alias("rep"), F.first("sig").alias("sig")), "classes")
-    near = components(candidate_links(classes, percent))
+    near = components(staged(candidate_links(classes, percent), "candidates"))
     members = classes.join(near.withColumnRenamed("id", "rep").withColumnRenamed("component_id", "cluster"), "rep")
     links = components(staged(confirmed_links(docs, staged(members, "members"), key, text, words, percent), "links"))
     named = seen.join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"], "left").join(
