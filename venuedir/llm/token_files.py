@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,8 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Row groups and pages of the files, in bytes.
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
-#: Distinct words whose ids a task keeps.
-CACHE_WORDS = 300_000
+#: Distinct words whose ids a Python worker keeps, some 250 bytes each.
+CACHE_WORDS = 800_000
 
 # How byte-level BPE cuts a text into words (fixed by the vocabulary's pre-tokenizer).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -44,61 +47,70 @@ class Encoder:
     """Ids of whole texts; every distinct word is encoded once.
 
     A single space between two characters that are no white space always starts a new
-    word, so a text may be cut there and its pieces encoded alone. Pieces that hold a special
-    token or a zero byte go through the whole tokenizer.
+    word, so a text may be cut there and its pieces encoded alone. The library's model encodes each
+    word; pieces that hold a special token go through the whole tokenizer.
     """
 
     def __init__(self, path: str, keep: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = Tokenizer.from_file(path)
-        self.bare = Tokenizer(self.whole.model)
+        self.model = self.whole.model
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.mark = self.whole.token_to_id(self.letters[0])  # the token of a zero byte closes each word
+        self.space = self.letters[32]
         self.keep = keep
         self.reset()
 
     def reset(self) -> None:
         self.codes: dict[str, int] = {}
-        self.parts: dict[str, np.ndarray] = {}
-        self.lengths = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.lengths = array("i")
+        self.starts = array("q")
+        self.flat = array("i")
 
     @staticmethod
     def pieces(text: str) -> list[str]:
         """The text cut before single spaces; every piece but the first begins with its space."""
+        if not text:
+            return []
         cut = text.split(" ")
-        if any(not x or x[0].isspace() or x[-1].isspace() for x in cut) and len(cut) > 1:
+        lines = text.replace("\n", "n")  # a line end inside a piece is no reason to look closer, one beside a space is
+        if " \n" in text or "\n " in text or lines.split() != (cut if lines is text else lines.split(" ")):
             cut = regex.split(r"(?<=\S) (?=\S)", text)
-        return [cut[0], *[" " + x for x in cut[1:]]] if text else []
+        return [cut[0], *[" " + x for x in cut[1:]]]
+
+    def _add(self, piece: str, ids: Sequence[int]) -> None:
+        self.codes[piece] = len(self.lengths)
+        self.starts.append(len(self.flat))
+        self.lengths.append(len(ids))
+        self.flat.extend(ids)
+
+    def _word(self, word: str) -> list[int]:
+        if word.isascii() and word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+            spelled = self.space + word[1:] if word[0] == " " else word
+        else:
+            spelled = word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(spelled)]
 
     def _learn(self, pieces: list[str]) -> None:
-        split, odd = {}, []
+        odd = []
         for piece in pieces:
+            if piece in self.codes:  # as a part of another piece
+                continue
             word = piece[1:] if piece[0] == " " else piece
             if word.isalpha():
-                split[piece] = [piece]
-            elif "\0" in piece or any(s in piece for s in self.special):
+                self._add(piece, self._word(piece))
+            elif any(s in piece for s in self.special):
                 odd.append(piece)
             else:
-                split[piece] = WORDS.findall(piece)
-        wanted = list({w for words in split.values() for w in words if w not in self.parts})
-        if wanted:
-            spelled = [w.encode().decode("latin-1").translate(self.letters) for w in wanted]
-            marked = [x for word in spelled for x in (word, self.letters[0])]
-            done = self.bare.encode_batch_fast([marked], is_pretokenized=True, add_special_tokens=False)[0]
-            ids = np.array(done.ids, np.int32)
-            ends = np.flatnonzero(ids == self.mark)
-            for word, a, b in zip(wanted, [0, *(ends[:-1] + 1)], ends, strict=True):
-                self.parts[word] = ids[a:b]
-        found = [np.concatenate([self.parts[w] for w in words]) for words in split.values()]
-        found += [np.array(e.ids, np.int32) for e in self.whole.encode_batch_fast(odd, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in found], np.int64)
-        self.codes.update(zip([*split, *odd], range(len(self.lengths), len(self.lengths) + len(found)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, *found])
+                parts = WORDS.findall(piece)
+                for part in parts:
+                    if part not in self.codes:
+                        self._add(part, self._word(part))
+                if len(parts) > 1:
+                    at = [self.codes[part] for part in parts]
+                    self._add(piece, [i for c in at for i in self.flat[self.starts[c]:self.starts[c] + self.lengths[c]]])
+        for piece, done in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            self._add(piece, done.ids)
 
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, n_tokens)`` of all texts, each closed by ``end_id``."""
@@ -106,15 +118,19 @@ class Encoder:
             self.reset()
         cut = [self.pieces(t) for t in texts]
         words = [w for one in cut for w in one]
-        missing = [w for w in dict.fromkeys(words) if w not in self.codes]
-        if missing:
-            self._learn(missing)
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        lengths = self.lengths[codes]
+        codes = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            missing = [words[k] for k in new.tolist()]
+            self._learn(list(dict.fromkeys(missing)))
+            codes[new] = np.fromiter(map(self.codes.__getitem__, missing), np.int64, len(missing))
+        # copies, because arrays that are viewed cannot grow
+        known, starts, flat = np.array(self.lengths), np.array(self.starts), np.array(self.flat)
+        lengths = known[codes].astype(np.int64)
         counts = np.array([len(x) for x in cut], np.int64)
         bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-        at = np.repeat(self.starts[codes] - (np.cumsum(lengths) - lengths), lengths)
-        ids = self.flat[at + np.arange(len(at))]
+        at = np.repeat(starts[codes] - (np.cumsum(lengths) - lengths), lengths)
+        ids = flat[at + np.arange(len(at))]
         sizes = np.diff(bounds)
         if end_id is not None:
             ids = np.insert(ids, bounds[1:], end_id)
@@ -122,6 +138,12 @@ class Encoder:
         return ids, sizes
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One per Python worker, so that tasks after the first find its words."""
+    return Encoder(path)
+
+
 def encode_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None,
                   end_id: int | None = END_ID) -> DataFrame:
     """``(key, n_tokens, ids)`` for every row; NULL texts count as empty and hold the end id alone."""
@@ -129,7 +151,7 @@ def encode_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for part in slices(batches, "text"):
             texts = [t or "" for t in part.column("text").to_pylist()]
             ids, sizes = encoder.encode(texts, end_id)
