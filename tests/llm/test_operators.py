@@ -221,6 +221,18 @@ def test_near_duplicates_against_brute_force(spark, small, words, monkeypatch):
     assert got == brute_components(rows, words)
 
 
+def test_difference_bits_and_stars():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in (1, 5, 300, 300, 900)]
+    marks = minhash.difference_bits(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    for i, j in itertools.combinations(range(5), 2):
+        assert np.bitwise_count(marks[i] ^ marks[j]).sum() <= len(np.setxor1d(sets[i], sets[j]))
+    sig = np.zeros((5, minhash.COORDINATES), np.uint64)  # a chain 0-1-2-3 and 4 alone, in one group
+    near = lambda i, j: j - i == 1 and j < 4
+    left, right = minhash.spanning_links(sig, np.full(5, 9), np.array([0, 5]), 80, near)
+    assert (left.tolist(), right.tolist()) == ([0, 0, 0], [1, 2, 3])
+
+
 # --- 7 ---------------------------------------------------------------------------
 
 
