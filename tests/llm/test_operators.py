@@ -104,6 +104,35 @@ def test_vector_links_and_components(spark):
     assert vectors.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def near_groups(sizes, width, seed):
+    """Unequal near-copies of one centre per group: all cosines inside a group are well over 0.95."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(len(sizes), width))
+    x = np.repeat(centres, sizes, 0)
+    x = x + rng.normal(size=x.shape) * 0.12
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("width", [16, 64, 256])
+def test_groups_of_near_copies_in_one_block(width):
+    x = near_groups([50, 60, 120, 300, 400], width, 1)
+    queries = near_groups([50, 60, 120, 300, 400], width, 1)[::7]  # as from another block: not started at their own rows
+    graph = vectors.build_graph(x)
+    for asked, own in ((queries, None), (x, np.arange(len(x)))):
+        true = asked @ x.T >= 0.95
+        found = np.zeros_like(true)
+        found[vectors.range_search(asked, x, graph, 0.95, *([] if own is None else [own]))] = True
+        assert ((found & true).sum(1) >= 0.95 * true.sum(1)).all()
+
+
+def test_one_large_group_beside_small_ones():
+    x = near_groups([1000, 50, 50, 50, 2, 2, *[1] * 20], 64, 2)
+    true = x @ x.T >= 0.95
+    found = np.zeros_like(true)
+    found[vectors.range_search(x, x, vectors.build_graph(x), 0.95)] = True
+    assert ((found & true).sum(1) >= 0.95 * true.sum(1)).all()
+
+
 # --- 3 ---------------------------------------------------------------------------
 
 

@@ -2,7 +2,8 @@
 
 Vectors go to their nearest centroids, several each, so that shards overlap. Every shard builds
 a graph whose edges are pruned robustly; the adjacency lists of a vector are united over its shards.
-A search starts at a shard's medoid, walks greedily, and once inside the range expands every vector in range.
+A search starts at a block's medoid, at an entry of every group of near-copies and at the query itself if the
+block holds it, walks greedily, and once inside the range expands every vector in range.
 Found pairs are verified in double precision; an audit compares a bounded set of vectors with all
 others and widens the overlap if recall is short.
 
@@ -116,22 +117,73 @@ def build_graph(x: np.ndarray) -> np.ndarray:
     return pruned(np.concatenate([graph, back], 1))
 
 
-def range_search(queries: np.ndarray, x: np.ndarray, graph: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """``(query, row)`` pairs whose cosine may reach ``cosine``, by greedy search from the medoid.
+def entries(x: np.ndarray, graph: np.ndarray, cosine: float, foreign: bool = True) -> np.ndarray:
+    """The medoid of a block and the rows that searches need to start at besides; the degree cut does not touch them.
 
-    Each step expands, for every query, its best row not yet expanded, as long as that row is among the
-    ``BEAM`` best seen or in range.
+    One for every part that edges in range hold together, so that a group of near-copies has an entry of its own;
+    one for whatever no path leads to then; and, if ``foreign`` queries come, rows that a search for themselves misses.
     """
     x = x.astype(np.float32)
-    queries = queries.astype(np.float32)
     bound = cosine - 1e-4
-    medoid = int((x @ x.mean(0)).argmax())
+    row, slot = np.nonzero(graph >= 0)
+    target = graph[row, slot]
+    near = np.einsum("nd,nd->n", x[row], x[target]) >= bound
+    every: list[list[int]] = [[] for _ in x]
+    close: list[list[int]] = [[] for _ in x]
+    for a, b, c in zip(row.tolist(), target.tolist(), near.tolist(), strict=True):
+        every[a].append(b)
+        if c:
+            close[a].append(b)
+    chosen = [int((x @ x.mean(0)).argmax())]
+
+    def join(edges: list[list[int]], wanted: list[int]) -> None:
+        reached, todo = set(chosen), list(chosen)
+        for k in [None, *wanted]:
+            if k is not None and k not in reached:
+                chosen.append(k)
+                reached.add(k)
+                todo.append(k)
+            while todo:
+                new = [b for b in edges[todo.pop()] if b not in reached]
+                reached.update(new)
+                todo.extend(new)
+
+    join(close, [a for a, b in enumerate(close) if b])
+    join(every, list(range(len(x))))
+    if foreign:
+        alone = np.setdiff1d(np.arange(len(x)), np.concatenate([row[near], target[near], chosen]))
+        if len(alone):
+            hit = _walk(x[alone], x, graph, bound, np.array(chosen), alone[:0])[np.arange(len(alone)), alone] >= bound
+            chosen.extend(alone[~hit].tolist())
+    return np.array(chosen)
+
+
+def _walk(queries: np.ndarray, x: np.ndarray, graph: np.ndarray, bound: float, start: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The cosine of every query with every row it has seen, -2 with others.
+
+    Each step expands, for every query, its best row not yet expanded, as long as that row is among the
+    ``BEAM`` best seen or in range; where many are in range, all of these at once.
+    """
+    linked = np.zeros((len(x), len(x)), np.float32)
+    row, slot = np.nonzero(graph >= 0)
+    linked[row, graph[row, slot]] = 1
     seen = np.full((len(queries), len(x)), -2, np.float32)
-    seen[:, medoid] = queries @ x[medoid]
+    seen[:, start] = queries @ x[start].T
+    seen[np.arange(len(own)), own] = np.einsum("nd,nd->n", queries[:len(own)], x[own])
     open_ = seen.copy()
     live = np.arange(len(queries))
     beam = min(BEAM, len(x))
     while len(live):
+        ready = open_[live] >= bound
+        if ready.sum() > 4 * len(live):
+            some = ready.any(1)
+            at, ready = live[some], ready[some]
+            open_[at] = np.where(ready, -2, open_[at])
+            q, target = np.nonzero((ready.astype(np.float32) @ linked > 0) & (seen[at] == -2))
+            for a in range(0, len(q), 100_000):
+                rows, to = at[q[a:a + 100_000]], target[a:a + 100_000]
+                seen[rows, to] = open_[rows, to] = np.einsum("nd,nd->n", queries[rows], x[to])
+            continue
         best = open_[live].argmax(1)
         value = open_[live, best]
         edge = np.partition(seen[live], len(x) - beam, 1)[:, len(x) - beam]
@@ -146,7 +198,19 @@ def range_search(queries: np.ndarray, x: np.ndarray, graph: np.ndarray, cosine:
         sims = np.einsum("nd,nd->n", queries[rows], x[target])
         seen[rows, target] = sims
         open_[rows, target] = sims
-    return np.nonzero(seen >= bound)
+    return seen
+
+
+def range_search(queries: np.ndarray, x: np.ndarray, graph: np.ndarray, cosine: float,
+                 own: np.ndarray | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``(query, row)`` pairs whose cosine may reach ``cosine``, by greedy search from the block's :func:`entries`.
+
+    The first ``len(own)`` queries are these rows of the block and start there too.
+    """
+    own = np.zeros(0, np.int64) if own is None else own
+    start = entries(x, graph, cosine, len(own) < len(queries)) if start is None else start
+    bound = cosine - 1e-4
+    return np.nonzero(_walk(queries.astype(np.float32), x.astype(np.float32), graph, bound, start, own) >= bound)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -230,8 +294,9 @@ def _search(placed: DataFrame, graph: DataFrame, cosine: float) -> DataFrame:
                 at = at[(at < m) & (rep[np.minimum(at, m - 1)] == listed)]
                 graph[i, : len(at)] = at
             found_q, found_v = [], []
+            start = entries(unit[:m], graph, cosine, m < len(unit))
             for a in range(0, len(unit), BLOCK_ROWS):  # bounds the table of what each query has seen
-                q, v = range_search(unit[a:a + BLOCK_ROWS], unit[:m], graph, cosine)
+                q, v = range_search(unit[a:a + BLOCK_ROWS], unit[:m], graph, cosine, np.arange(a, max(a, min(a + BLOCK_ROWS, m))), start)
                 found_q.append(q + a)
                 found_v.append(v)
             q, v = np.concatenate(found_q), np.concatenate(found_v)
