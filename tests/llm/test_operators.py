@@ -133,6 +133,32 @@ def test_one_large_group_beside_small_ones():
     assert ((found & true).sum(1) >= 0.95 * true.sum(1)).all()
 
 
+def vector_rows(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def test_audit_sees_small_groups_and_draws_on(spark):
+    x = near_groups([400, *[2] * 200], 32, 3)
+    held = vector_rows(spark, x).select(F.col("vec_id").alias("rep"), F.col("embedding").alias("vec"), F.lit(1).cast("long").alias("copies"))
+    counts = spark.createDataFrame([(i, 399) for i in range(400)], "u long, n long")  # the pairs are lost
+    share, sure = vectors.audit(held, counts, 0.95)
+    assert sure and 0.3 < share < 0.7
+    rare = near_groups([*[2] * 20, *[1] * 960], 32, 3)
+    held = vector_rows(spark, rare).select(F.col("vec_id").alias("rep"), F.col("embedding").alias("vec"), F.lit(1).cast("long").alias("copies"))
+    share, sure = vectors.audit(held, counts.where("u < 0"), 0.95, 2)
+    assert sure and share == 0
+
+
+def test_short_search_is_made_good_or_an_error(spark, monkeypatch):
+    x = near_groups([30, 5, 5, *[1] * 40], 32, 5)
+    monkeypatch.setattr(vectors, "range_search", lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    got = {r.vec_id: r for r in vectors.near_duplicate_vectors(vector_rows(spark, x)).collect()}
+    assert [got[i].n_links for i in range(len(x))] == ((x @ x.T >= 0.95).sum(1) - 1).tolist()
+    monkeypatch.setattr(vectors, "audit", lambda *_: (0.5, True))
+    with pytest.raises(RuntimeError, match="recall"):
+        vectors.near_duplicate_vectors(vector_rows(spark, x))
+
+
 # --- 3 ---------------------------------------------------------------------------
 
 
