@@ -159,6 +159,55 @@ def test_short_search_is_made_good_or_an_error(spark, monkeypatch):
         vectors.near_duplicate_vectors(vector_rows(spark, x))
 
 
+def test_links_found_anywhere_count_once_and_both_ways(spark, monkeypatch):
+    x = near_groups([70, 40, 9, *[1] * 60], 32, 6)
+    x = np.concatenate([x, x[:3]])  # copies weigh
+    placed, whole = [], vectors._search
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 30)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(vectors, "_search", lambda *a: placed.append(a) or whole(*a))
+    true = (x @ x.T >= 0.95).sum(1) - 1
+
+    def some(queries, held, graph, cosine, own=None, start=None):  # every search finds another third of its pairs
+        q, v = np.nonzero(queries @ held.T >= cosine - 1e-4)
+        kept = (np.abs(queries[q, 0] * 1e4 + held[v, 1] * 1e4 + len(held) * 7).astype(int) % 3) == 0
+        return q[kept], v[kept]
+
+    monkeypatch.setattr(vectors, "audit", lambda *_: (1.0, True))
+    got = {r.vec_id: r for r in vectors.near_duplicate_vectors(vector_rows(spark, x)).collect()}
+    assert [got[i].n_links for i in range(len(x))] == true.tolist()
+    monkeypatch.setattr(vectors, "range_search", some)
+    vectors.near_duplicate_vectors(vector_rows(spark, x))
+    held, graph, cosine, exact = placed[-1]
+    links = whole(held, graph, cosine, exact).collect()
+    member = {(r.shard, r.block): [] for r in held.collect()}
+    copies = {r.rep: r.copies for r in held.collect()}
+    for r in sorted(held.collect(), key=lambda r: r.rep):
+        member[r.shard, r.block].append(r.rep)
+    pairs = {(r.u, member[r.shard, r.block][i]) for r in links if r.bits is not None
+             for i in range(8 * len(r.bits)) if r.bits[i // 8] >> i % 8 & 1}
+    count = Counter()
+    for u, v in pairs:
+        count[u] += copies[v]
+    assert pairs and pairs == {(v, u) for u, v in pairs}
+    assert {r.u: r.n for r in vectors._counts(held, spark.createDataFrame(links, "u long, v long, shard long, block long, bits binary")).collect()} == count
+    joined = brute_labels(pairs, copies)
+    got = {r.id: r.component_id for r in vectors.components(spark.createDataFrame(links, "u long, v long, shard long, block long, bits binary").where(
+        "v is not null").select("u", "v")).collect()}
+    assert got == joined  # components hold exactly the links counted
+
+
+def brute_labels(pairs, nodes):
+    label = {k: k for k in nodes}
+    while True:
+        moved = False
+        for u, v in pairs:
+            if label[v] < label[u]:
+                label[u], moved = label[v], True
+        if not moved:
+            return label
+
+
 # --- 3 ---------------------------------------------------------------------------
 
 

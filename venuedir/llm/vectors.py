@@ -8,7 +8,8 @@ Found pairs are verified in double precision; an audit compares a bounded set of
 others. Where recall is short, blocks are compared exactly, then the overlap is widened; a result that stays short is an error.
 
 Equal vectors collapse to one first. A shard of any size is cut into blocks that build and hold their
-own graph; its vectors search every block. Tasks return one row per query, never pairs.
+own graph; its vectors search every block. Tasks return one row per query and block, never pairs: found links are
+bits over the places of a block, which are united over shards and searches and then counted.
 """
 
 from __future__ import annotations
@@ -237,7 +238,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 
 def _homes(vectors: DataFrame, centres: np.ndarray, homes: int) -> DataFrame:
-    """``(shard, rep, vec, copies, homes)``: every vector once for each of its nearest centroids."""
+    """``(shard, rep, vec, copies)``: every vector once for each of its nearest centroids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -245,57 +246,82 @@ def _homes(vectors: DataFrame, centres: np.ndarray, homes: int) -> DataFrame:
             near = np.argsort(-(_unit(_matrix(batch.column("vec"))) @ centres.T), 1, kind="stable")[:, :homes]
             n, h = near.shape
             own = pa.array(np.repeat(np.arange(n), h))
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * h), pa.array(np.sort(near, 1).ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(near.ravel()), *[batch.column(c).take(own) for c in ("rep", "vec", "copies")], listed.take(own)],
-                ["shard", "rep", "vec", "copies", "homes"])
+            yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), *[batch.column(c).take(own) for c in ("rep", "vec", "copies")]],
+                                             ["shard", "rep", "vec", "copies"])
 
-    return vectors.select("rep", "vec", "copies").mapInArrow(
-        run, "shard long, rep long, vec array<double>, copies long, homes array<long>")
+    return vectors.select("rep", "vec", "copies").mapInArrow(run, "shard long, rep long, vec array<double>, copies long")
 
 
 def _adjacency(placed: DataFrame) -> DataFrame:
-    """``(rep, near)``: united adjacency lists of the graphs of all blocks."""
+    """``(rep, near, spots)``: united adjacency lists of the graphs of all blocks, and the places in them by shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, ["shard", "block"]):
             graph = build_graph(_unit(_matrix(rows.column("vec"))))
             rep = rows.column("rep").to_numpy()
             near = [rep[g[g >= 0]] for g in graph]
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(near, pa.list_(pa.int64()))], ["rep", "near"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rep), pa.array(near, pa.list_(pa.int64())), rows.column("shard").combine_chunks(),
+                 rows.column("block").combine_chunks(), pa.array(np.arange(len(rep)))], ["rep", "near", "shard", "block", "pos"])
 
     rows = placed.select("shard", "block", "rep", "vec").repartition("shard", "block").sortWithinPartitions("shard", "block", "rep")
-    return rows.mapInArrow(run, "rep long, near array<long>").groupBy("rep").agg(
-        F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    return rows.mapInArrow(run, "rep long, near array<long>, shard long, block long, pos long").groupBy("rep").agg(
+        F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"),
+        F.array_sort(F.collect_list(F.struct("shard", "block", "pos"))).alias("spots"))
+
+
+def _marks(q: np.ndarray, v: np.ndarray, spots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """``(row, shard, block, bits)``: which places of a block a row is linked with, one bit each.
+
+    The block is that of ``v`` in the first shard that both live in, so that all shards that find a pair set one bit.
+    """
+    shards, blocks, places = spots
+    first = np.full(len(q), np.iinfo(np.int64).max)
+    for h in range(shards.shape[1]):
+        mine = shards[q, h]
+        first = np.where((shards[v] == mine[:, None]).any(1), np.minimum(first, mine), first)
+    slot = (shards[v] == first[:, None]).argmax(1)
+    block, place = blocks[v, slot], places[v, slot]
+    order = np.lexsort((block, first, q))
+    q, first, block, place = q[order], first[order], block[order], place[order]
+    head = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (first[1:] != first[:-1]) | (block[1:] != block[:-1])]))
+    group = np.repeat(np.arange(len(head)), np.diff([*head, len(q)]))
+    ends = np.concatenate([[0], np.cumsum(np.maximum.reduceat(place, head) // 8 + 1)])
+    raw = np.bincount(ends[group] + place // 8, 1 << (place % 8), ends[-1]).astype(np.uint8)
+    bits = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+    return q[head], first[head], block[head], bits
 
 
 def _search(placed: DataFrame, graph: DataFrame, cosine: float, exact: bool = False) -> DataFrame:
-    """``(u, v, n)`` per query and block: a vector that is linked with ``u``'s, and the links counted here.
+    """Links as ``(u, v)`` per query and block, a vector that ``u`` is linked with, and as :func:`_marks` for counting.
 
-    A pair counts in the first of the shards that both vectors live in. ``exact`` compares all rows of a block.
+    Links hold both ways, whoever found them. ``exact`` compares all rows of a block.
     """
-    data = placed.join(graph, "rep").select("shard", "block", F.lit(0).alias("asks"), "rep", "vec", "copies", "homes", "near")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    asking = placed.select("shard", other.alias("to"), "block", "rep", "vec", "copies", "homes").where("to <> block").select(
-        "shard", F.col("to").alias("block"), F.lit(1).alias("asks"), "rep", "vec", "copies", "homes",
-        F.lit(None).cast("array<long>").alias("near"))
+    held = placed.join(graph, "rep").select(
+        "shard", "block", "blocks", "rep", "vec", "near", *[F.col(f"spots.{c}").alias(f"{c}s") for c in ("shard", "block", "pos")])
+    about = ["rep", "vec", "shards", F.col("blocks_").alias("blocks"), "poss"]
+    held = held.toDF(*["shard", "block", "many", "rep", "vec", "near", "shards", "blocks_", "poss"])
+    data = held.select("shard", "block", F.lit(0).alias("asks"), *about, "near")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1))
+    asking = held.withColumn("to", other).where("to <> block").select(
+        "shard", F.col("to").alias("block"), F.lit(1).alias("asks"), *about, F.lit(None).cast("array<long>").alias("near"))
     rows = data.union(asking).repartition("shard", "block").sortWithinPartitions("shard", "block", "asks", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["shard", "block"]):
             asks = group.column("asks").to_numpy()
             m = int((asks == 0).sum())
+            if not m:
+                continue
             rep = group.column("rep").to_numpy()
             unit = _unit(_matrix(group.column("vec")))
-            homes = _matrix(group.column("homes"))
-            copies = group.column("copies").to_numpy()
-            shard = group.column("shard")[0].as_py()
+            spots = [_matrix(group.column(c)) for c in ("shards", "blocks", "poss")]
             near = group.column("near").slice(0, m).to_pylist()
             graph = np.full((m, max(1, *[len(x) for x in near])), -1)
             for i, listed in enumerate(near):
                 at = np.searchsorted(rep[:m], listed)
                 at = at[(at < m) & (rep[np.minimum(at, m - 1)] == listed)]
                 graph[i, : len(at)] = at
-            found_q, found_v = [], []
+            label = np.arange(len(unit))
             start = None if exact else entries(unit[:m], graph, cosine, m < len(unit))
             for a in range(0, len(unit), BLOCK_ROWS):  # bounds the table of what each query has seen
                 if exact:
@@ -303,35 +329,62 @@ def _search(placed: DataFrame, graph: DataFrame, cosine: float, exact: bool = Fa
                 else:
                     own = np.arange(a, max(a, min(a + BLOCK_ROWS, m)))
                     q, v = range_search(unit[a:a + BLOCK_ROWS], unit[:m], graph, cosine, own, start)
-                found_q.append(q + a)
-                found_v.append(v)
-            q, v = np.concatenate(found_q), np.concatenate(found_v)
-            back = q < m  # links hold both ways
-            pairs = np.unique(np.concatenate([q * len(unit) + v, v[back] * len(unit) + q[back]]))
-            q, v = pairs // len(unit), pairs % len(unit)
-            other = q != v
-            q, v = q[other], v[other]
-            real = np.zeros(len(q), bool)
-            for a in range(0, len(q), 50_000):
-                real[a:a + 50_000] = np.einsum("nd,nd->n", unit[q[a:a + 50_000]], unit[v[a:a + 50_000]]) >= cosine
-            q, v = q[real], v[real]
-            first = np.full(len(q), np.iinfo(np.int64).max)
-            for h in range(homes.shape[1]):
-                mine = homes[q, h]
-                first = np.where((homes[v] == mine[:, None]).any(1), np.minimum(first, mine), first)
-            counted = np.bincount(q, copies[v] * (first == shard), len(unit)).astype(np.int64)
-            label = np.arange(len(unit))
-            while True:  # least row reachable inside this group
-                low = label.copy()
-                np.minimum.at(low, q, label[v])
-                np.minimum.at(low, v, label[q])
-                low = low[low]
-                if (low == label).all():
-                    break
-                label = low
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(rep[label]), pa.array(counted)], ["u", "v", "n"])
+                q = q + a
+                other = q != v
+                q, v = q[other], v[other]
+                real = np.zeros(len(q), bool)
+                for b in range(0, len(q), 50_000):
+                    real[b:b + 50_000] = np.einsum("nd,nd->n", unit[q[b:b + 50_000]], unit[v[b:b + 50_000]]) >= cosine
+                q, v = q[real], v[real]
+                if not len(q):
+                    continue
+                while True:  # least row reachable inside this group
+                    x, y = label[q], label[v]
+                    if (x == y).all():
+                        break
+                    np.minimum.at(label, x, y)
+                    np.minimum.at(label, y, x)
+                    while (label[label] != label).any():
+                        label = label[label]
+                pairs = np.unique(np.concatenate([q * len(unit) + v, v * len(unit) + q]))
+                row, *where = _marks(pairs // len(unit), pairs % len(unit), spots)
+                yield pa.RecordBatch.from_arrays([pa.array(rep[row]), pa.nulls(len(row), pa.int64()), *map(pa.array, where)],
+                                                 ["u", "v", "shard", "block", "bits"])
+            none = pa.nulls(len(rep), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(rep[label]), none, none, pa.nulls(len(rep), pa.binary())],
+                                             ["u", "v", "shard", "block", "bits"])
+
+    return rows.mapInArrow(run, "u long, v long, shard long, block long, bits binary")
+
+
+def _counts(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """``(u, n)``: rows that ``u`` is linked with, every pair once however many shards found it."""
+    marks = links.where("bits is not null").select("shard", "block", F.lit(1).alias("kind"), "u", F.lit(0).cast("long").alias("n"), "bits")
+    held = placed.select("shard", "block", F.lit(0).alias("kind"), F.col("rep").alias("u"), F.col("copies").alias("n"),
+                         F.lit(None).cast("binary").alias("bits"))
+    rows = held.union(marks).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind", "u")
 
-    return rows.mapInArrow(run, "u long, v long, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["shard", "block"]):
+            m = int((group.column("kind").to_numpy() == 0).sum())
+            copies = group.column("n").to_numpy()[:m].astype(np.float64)
+            u = group.column("u").to_numpy()[m:]
+            if not len(u):
+                continue
+            bits = group.column("bits").slice(m).cast(pa.large_binary()).combine_chunks()
+            _, ends, raw = bits.buffers()
+            ends = np.frombuffer(ends, np.int64, len(bits) + 1, bits.offset * 8)
+            row = np.repeat(np.arange(len(u)), np.diff(ends))
+            table_ = np.zeros((len(u), (m + 7) // 8), np.uint8)
+            table_[row, np.arange(ends[0], ends[-1]) - ends[row]] = np.frombuffer(raw, np.uint8)[ends[0]:ends[-1]]
+            head = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+            table_ = np.bitwise_or.reduceat(table_, head, 0)
+            n = np.zeros(len(head), np.int64)
+            for a in range(0, len(head), 1000):
+                n[a:a + 1000] = np.rint(np.unpackbits(table_[a:a + 1000], 1, m, "little") @ copies)
+            yield pa.RecordBatch.from_arrays([pa.array(u[head]), pa.array(n)], ["u", "n"])
+
+    return rows.mapInArrow(run, "u long, n long").groupBy("u").agg(F.sum("n").alias("n"))
 
 
 def true_links(vectors: DataFrame, asked: np.ndarray, cosine: float) -> DataFrame:
@@ -397,12 +450,13 @@ def near_duplicate_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "
         k = max(1, min(MOST_SHARDS, n // SHARD_ROWS))
         centres = fit_centroids(_unit(_matrix(sample.column("vec"))), k)
         placed = _homes(vectors, centres, min(homes, k))
-        sizes = placed.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("blocks"))
+        # powers of two, so that the blocks of two shards nest and a row has few blocks to be marked in
+        sizes = placed.groupBy("shard").agg(F.pow(F.lit(2), F.ceil(F.log2(F.ceil(F.count("*") / BLOCK_ROWS)))).cast("long").alias("blocks"))
         placed = placed.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
         placed = staged(placed, "placed")
         graph = staged(_adjacency(placed), "graph")
         links = staged(_search(placed, graph, cosine, exact), "links")
-        counts = links.groupBy("u").agg(F.sum("n").alias("n"))
+        counts = staged(_counts(placed, links), "counts")
         share, sure = audit(vectors, counts, cosine)
         if share >= RECALL and (sure or exact):
             break
@@ -415,9 +469,9 @@ def near_duplicate_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "
     if links is None:
         return ids.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"),
                           F.lit(True).alias("kept"))
-    named = components(links.select("u", "v")).withColumnRenamed("id", "rep")
-    about = vectors.join(counts.withColumnRenamed("u", "rep"), "rep").join(named, "rep").select(
-        "vec", "component_id", (F.col("n") + F.col("copies") - 1).alias("n_links"))
+    named = components(links.where("v is not null").select("u", "v")).withColumnRenamed("id", "rep")
+    about = vectors.join(counts.withColumnRenamed("u", "rep"), "rep", "left").join(named, "rep").select(
+        "vec", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = ids.join(about.withColumnRenamed("vec", "_vec"), (F.col("vec") == F.col("_vec")) & F.col("id").isNotNull(), "left")
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       F.coalesce("component_id", "id").alias("component_id")).withColumn(
