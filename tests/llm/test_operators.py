@@ -288,6 +288,18 @@ def test_token_files(spark, odd, small):
     assert len(rows) == 12 and {tuple(r.ids) for r in rows if r.doc_id in (1, 2)} == {(2,)}
 
 
+def test_token_files_on_repeated_and_null_ids(spark, tmp_path):
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, "one two"), (1, "two one"), (1, "one two"), (2, "a"), *[(None, "")] * 5, (None, None), (None, "z"), (None, "y"), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(driver.queries()["op5_token_files"](spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    raw = [(i, [*whole.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows]
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter(
+        (i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in raw)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got]).tolist()[:-1]]
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: -1 if i is None else i)
+
+
 # --- 6 ---------------------------------------------------------------------------
 
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -185,25 +185,34 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def token_offsets(files: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, start, n_tokens)``: tokens of all documents before, in key order; reads no ids.
+def _place(*also: str) -> list[Column]:
+    """Columns ``also``, file and row number inside it of every row that is read."""
+    return [*map(F.col, also), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+
 
-    Running sums inside ranges of the key plus the totals of the ranges before: one
-    row per range meets in one place, never one per document. Equal keys follow in any order.
+def _with_start(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` and ``start``: tokens of all rows before, in the order of the files.
+
+    Running sums inside files plus the totals of the files before: one row per file meets in
+    one place, never one per document. Equal keys follow as they are stored.
     """
-    meta = files.select(key, "n_tokens", F.col("_metadata.file_path").alias("_file"))
-    totals = meta.groupBy("_file").agg(F.sum("n_tokens").alias("_n"), F.min(key).alias("_low"))
+    totals = rows.groupBy("_file").agg(F.sum("n_tokens").alias("_n"), F.min(key).alias("_low"))
     order = Window.orderBy(F.col("_low").asc_nulls_first(), "_file")
     before = totals.select("_file", (F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
                            .alias("_before"))
-    inside = Window.partitionBy("_file").orderBy(F.col(key).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = meta.withColumn("_until", F.sum("n_tokens").over(inside)).join(before, "_file")
-    return rows.select(key, (F.col("_before") + F.col("_until") - F.col("n_tokens")).alias("start"), "n_tokens")
+    inside = Window.partitionBy("_file").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_until", F.sum("n_tokens").over(inside)).join(before, "_file")
+    return rows.withColumn("start", F.col("_before") + F.col("_until") - F.col("n_tokens"))
 
 
-def token_sums(files: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, n_tokens, ids_crc32)`` of the stored ids as little-endian 32-bit integers."""
-    rows = files.select(F.col(key).alias("key"), "ids")
+def token_offsets(files: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, start, n_tokens)``: tokens of all documents before, in key order; reads no ids."""
+    return _with_start(files.select(*_place(key, "n_tokens")), key).select(key, "start", "n_tokens")
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``(n_tokens, ids_crc32)`` in place of their last column, ``ids``."""
+    kept = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,19 +221,26 @@ def token_sums(files: DataFrame, key: str = "doc_id") -> DataFrame:
             raw = ids.values.to_numpy().astype("<u4", copy=False)
             sums = [zlib.crc32(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(np.diff(offsets), pa.int64()), pa.array(sums, pa.int64())],
-                ["key", "n_tokens", "ids_crc32"])
+                [*[batch.column(c) for c in kept], pa.array(np.diff(offsets), pa.int64()), pa.array(sums, pa.int64())],
+                [*kept, "n_tokens", "ids_crc32"])
 
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, n_tokens long, ids_crc32 long").withColumnRenamed("key", key)
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in kept)
+    return rows.mapInArrow(run, f"{kinds}n_tokens long, ids_crc32 long")
+
+
+def token_sums(files: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, n_tokens, ids_crc32)`` of the stored ids as little-endian 32-bit integers."""
+    return _sums(files.select(key, "ids"))
+
+
+def token_places(files: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, start, n_tokens, ids_crc32)`` of every stored row out of one read, so that repeated and NULL keys keep their own."""
+    rows = _with_start(_sums(files.select(*_place(key), "ids")), key)
+    return rows.select(key, "start", "n_tokens", "ids_crc32")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position, length and checksum of every document, all read back from the token files."""
     path = scratch(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents"), path)
-    files = read_tokens(spark, path)
-    sums = token_sums(files).select(F.col("doc_id").alias("_id"), "ids_crc32", F.col("n_tokens").alias("_n"))
-    return token_offsets(files).join(
-        sums, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("n_tokens") == F.col("_n"))
-    ).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_places(read_tokens(spark, path))
