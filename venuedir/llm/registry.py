@@ -1,6 +1,20 @@
 """Registered queries of the subpackage, each with its DuckDB counterpart or None."""
 
-from venuedir.llm import lines, media, minhash, mixing, pieces, private, quality, suffix, token_files, vectors
+from venuedir.llm import (
+    dialogues,
+    divergence,
+    lines,
+    media,
+    minhash,
+    mixing,
+    pieces,
+    private,
+    quality,
+    suffix,
+    token_files,
+    vectors,
+    warc,
+)
 
 QUERIES = {
     "op3_pieces": (pieces.op3_pieces, None),
@@ -13,4 +27,7 @@ QUERIES = {
     "op7_media": (media.op7_media, None),
     "op8_line_dedup": (lines.op8_line_dedup, lines.SQL),
     "op10_mixing": (mixing.op10_mixing, mixing.SQL),
+    "op11_warc": (warc.op11_warc, warc.SQL),
+    "op12_divergence": (divergence.op12_divergence, divergence.SQL),
+    "op13_dialogues": (dialogues.op13_dialogues, None),
 }
