@@ -27,7 +27,7 @@ TOP_TERMS = 50
 #: Text sorted at once; more in one go combines more counts, at some 15 bytes of memory a byte.
 SORT_BYTES, SORT_ROWS = 12_000_000, 1 << 16
 #: Sources in one block of the pairwise comparison, and rows of counts in one of its groups.
-BLOCK_SOURCES, GROUP_ROWS = 128, 400_000
+BLOCK_SOURCES, GROUP_ROWS = 128, 20_000
 
 # Bytes of a term: ASCII letters and everything beyond ASCII.
 _TERM = np.zeros(256, bool)
