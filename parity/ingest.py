@@ -138,7 +138,7 @@ QUERIES = {
         "union all select 'rejected', 'bad_json', null from part where p_partkey%7=3"),
     "flatten_rejects": (
         lambda spark, sf: records.keyed_rejects(
-            cut_documents(keyed_documents(spark, sf), "value like '%7\"}}'"), schema.OLDER_METRIC),
+            cut_documents(keyed_documents(spark, sf), "value like '%7\"}}'"), schema.OLDER_METRIC).drop("key"),
         "select concat('{\"S', cast(s_suppkey as string), '\":{\"issn\":\"', lpad(cast(s_suppkey as string), 8, '0'), '\"}') "
         "as value, 'bad_json' as reject_reason from supplier where s_suppkey%10=7"),
     "flatten_keyed": (

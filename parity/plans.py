@@ -9,10 +9,11 @@ from parity import derived as d
 from parity.catalog import favorites, notes
 from venuedir import schema
 from venuedir.functions.tags import decode_tags
+from venuedir.operators import merge
 from venuedir.operators.replay import replay_toggles
 from venuedir.plans.build import build_journals
 from venuedir.plans.list_query import VenueQuery
-from venuedir.plans.login import Annotations, merge_logins, merge_notes_in_order
+from venuedir.plans.login import Annotations, merge_logins
 from venuedir.session import shared_dir
 from venuedir.sources import catalogue
 from venuedir.streaming.changes import ChangeStore, start_replay
@@ -42,6 +43,24 @@ def all_logins(spark, sf):
         "cast(user_id + 2*length(event_type)%6 - 1 as string) as user_id", "ts")
 
 
+# The claims of an entry one by one, in the order of the logins, with what has moved so far.
+MANY_USERS = """all_logins as (select cast(user_id as varchar) as device_id,
+    cast(user_id + 2*length(event_type)%6 - 1 as varchar) as user_id, min(ts) as ts from events where user_id%2=1
+    group by events.user_id, event_type),
+claims as (select n.entry_id, device_id, user_id, row_number() over (partition by n.entry_id order by min(ts), device_id, user_id) as k
+  from notes n join all_logins l on n.owner_kind='device' and n.owner_id=l.device_id
+  where not exists (select 1 from notes u where u.owner_kind='user' and u.owner_id=l.user_id and u.entry_id=n.entry_id)
+  group by n.entry_id, device_id, user_id),
+steps as (select entry_id, cast(0 as bigint) as k, cast([] as varchar[]) as devices, cast([] as varchar[]) as users
+    from (select distinct entry_id from claims)
+  union all select s.entry_id, c.k,
+    case when list_contains(devices, c.device_id) or list_contains(users, c.user_id) then devices else list_append(devices, c.device_id) end,
+    case when list_contains(devices, c.device_id) or list_contains(users, c.user_id) then users else list_append(users, c.user_id) end
+  from steps s join claims c on c.entry_id=s.entry_id and c.k=s.k+1),
+moves as (select entry_id, unnest(devices) as device_id, unnest(users) as user_id
+  from (select *, row_number() over (partition by entry_id order by k desc) as last from steps) where last=1)"""
+
+
 def merged(spark, sf):
     before = Annotations(favorites(spark, sf), notes(spark, sf), d.user_tags(spark, sf))
     return merge_logins(before, d.logins(spark, sf))
@@ -110,10 +129,12 @@ QUERIES = {
     "merge_logins_notes": (
         lambda spark, sf: merged(spark, sf).notes,
         annotation.QUERIES["merge_notes"][1]),
-    # each login depends on the ones before it: rows only, checked by brute force in tests
     "merge_notes_many_users": (
-        lambda spark, sf: merge_notes_in_order(notes(spark, sf), all_logins(spark, sf)),
-        None),
+        lambda spark, sf: merge.merge_notes(notes(spark, sf), all_logins(spark, sf)),
+        d.with_ctes(d.OPS_CTE, d.NOTES_CTE, MANY_USERS).replace("with ", "with recursive ", 1) + """
+          select case when m.user_id is null then n.owner_kind else 'user' end as owner_kind, coalesce(m.user_id, n.owner_id) as owner_id,
+            n.entry_id, n.content, n.updated_at
+          from notes n left join moves m on n.owner_kind='device' and m.device_id=n.owner_id and m.entry_id=n.entry_id"""),
     "build_catalogue": (
         lambda spark, sf: built(spark, sf).entries.select(
             "journalid", "type", "ccf_domain", "ccf_level", "ccf_abbr", "ccf_full", "ccf_publisher", "ccf_url",

@@ -119,8 +119,8 @@ def worklist(spark, sf):
         "'journal' as type", "cast(c_custkey%7 as string) as domain", "cast(c_custkey as string) as abbr", "c_name")
 
 
-def results(spark, sf, status):
-    rows = d.table(spark, sf, "orders").where(F.col("o_orderstatus") == status)
+def results(spark, sf, *status):
+    rows = d.table(spark, sf, "orders").where(F.col("o_orderstatus").isin(*status))
     return rows.selectExpr("'journal' as type", "'x' as domain", "cast(o_custkey as string) as abbr",
                            "o_totalprice as price", "o_orderkey as ts")
 
@@ -177,11 +177,11 @@ QUERIES = {
         f"select {_ID} as journalid, o_orderkey, coalesce(case when c_custkey%2=0 then c_name end, o_orderstatus) as publisher, "
         "c_mktsegment as area from orders join customer on o_custkey=c_custkey"),
     "upsert_results": (
-        lambda spark, sf: ledger.upsert_results(results(spark, sf, "F"), results(spark, sf, "O")),
+        lambda spark, sf: ledger.upsert_results(results(spark, sf, "F", "P"), results(spark, sf, "O")),
         """select 'journal' as type, 'x' as domain, cast(o_custkey as string) as abbr, price, ts from (
             select o_custkey, o_totalprice as price, o_orderkey as ts, row_number() over (partition by o_custkey
               order by case o_orderstatus when 'O' then 0 else 1 end, o_orderkey desc) as rn
-            from orders where o_orderstatus in ('O','F')) where rn=1"""),
+            from orders) where rn=1"""),
 }
 
 

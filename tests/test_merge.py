@@ -9,7 +9,7 @@ import pytest
 
 from venuedir import schema
 from venuedir.operators import definitions, merge
-from venuedir.plans.login import Annotations, merge_logins, merge_notes_in_order
+from venuedir.plans.login import Annotations, merge_logins
 
 START = datetime(2024, 1, 1)
 FAV = "owner_kind string, owner_id string, entry_id long, tags array<string>, created_at timestamp_ntz"
@@ -77,8 +77,8 @@ def test_merging_twice_is_merging_once(spark):
     login_map = spark.createDataFrame(logins, LOGIN)
     once = merge.merge_favorites(spark.createDataFrame(favorites, FAV), login_map)
     assert keyed(merge.merge_favorites(once, login_map)) == keyed(once)
-    first = merge_notes_in_order(spark.createDataFrame(notes, NOTE), login_map)
-    assert keyed(merge_notes_in_order(first, login_map)) == keyed(first)
+    first = merge.merge_notes(spark.createDataFrame(notes, NOTE), login_map)
+    assert keyed(merge.merge_notes(first, login_map)) == keyed(first)
 
 
 def test_guest_note_stays_when_the_user_has_one(spark):

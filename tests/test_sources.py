@@ -53,7 +53,7 @@ def test_broken_documents_are_reported(spark, tmp_path):
     documents = spark.createDataFrame([(t,) for t in texts], "value string")
     assert [r.abbr for r in records.flatten_by_domain(documents).collect()] == ["a"]
     bad = [(t, "bad_json") for t in texts[1:5]]
-    assert [tuple(r) for r in records.by_domain_rejects(documents).collect()] == bad
+    assert [(r.value, r.reject_reason) for r in records.by_domain_rejects(documents).collect()] == bad
     keyed = spark.createDataFrame([('{"a":{"issn":"1"}}',), ('{"a":{"issn":',), ("7",)], "value string")
     assert [r.issn for r in records.flatten_keyed(keyed, schema.OLDER_METRIC).collect()] == ["1"]
     assert records.keyed_rejects(keyed, schema.OLDER_METRIC).count() == 2

@@ -53,33 +53,40 @@ def register_users(users: DataFrame, requests: DataFrame) -> DataFrame:
     return _insert_or_reject(users, requests, ["username"], valid_username(F.col("username")))
 
 
-def lookup_users(users: DataFrame, names: DataFrame) -> DataFrame:
-    """Users by name."""
-    return users.join(names.select("username").distinct(), "username", "left_semi")
+def lookup_users(users: DataFrame, wanted: DataFrame, by: str = "username") -> DataFrame:
+    """Users by ``username`` or by ``id``; what is not found has no row."""
+    return users.join(wanted.select(by).distinct(), by, "left_semi").select(*users.columns)
 
 
-def update_tags(user_tags: DataFrame, updates: DataFrame) -> DataFrame:
-    """Rename or recolour: ``updates(user_id, name, new_name, new_color)``.
+def update_outcomes(user_tags: DataFrame, updates: DataFrame) -> DataFrame:
+    """Every update ``(user_id, name, new_name, new_color, ...)`` with its ``status``.
 
-    Only the owner's own tags are touched, and ``(user_id, name)`` stays unique: of several
-    updates of one tag the greatest ``(new_name, new_color)`` counts; a rename onto a name the user
-    has before the batch, or that a smaller name claims, is not done, nor its colour. Favourites keep the old name.
+    ``not_found``: the user has no such tag. ``invalid``: the new name is too long or empty. ``superseded``: another
+    update of the same tag counts, the one with the greatest ``(new_name, new_color)``. ``conflict``: the user has the new name before the
+    batch, or a smaller name claims it. All others are ``updated``; equal updates share their status.
     """
-    change = updates.groupBy("user_id", "name").agg(F.max(F.struct("new_name", "new_color")).alias("_to")).select(
-        "user_id", "name", "_to.new_name", "_to.new_color")
-    own = user_tags.select("user_id", "name")
-    change = change.join(own, ["user_id", "name"], "left_semi")
-    renames = change.where("new_name <> name")
-    free = renames.join(own.withColumnRenamed("name", "new_name"), ["user_id", "new_name"], "left_anti")
-    winners = free.groupBy("user_id", "new_name").agg(F.min("name").alias("name")).select("user_id", "name")
-    done = change.where("new_name is null or new_name = name").unionByName(
-        renames.join(winners, ["user_id", "name"], "left_semi"))
-    joined = user_tags.join(done, ["user_id", "name"], "left")
-    new_values = {
-        "name": F.coalesce("new_name", "name"),
-        "color": F.coalesce("new_color", "color"),
-    }
-    return joined.withColumns(new_values).select(*user_tags.columns)
+    keys = ["user_id", "name"]
+    own = user_tags.select(*keys)
+    valid = F.col("new_name").isNull() | valid_tag_name(F.col("new_name"))
+    asked = F.struct("new_name", "new_color")
+    change = updates.where(valid).groupBy(*keys).agg(F.max(asked).alias("_to")).join(own, keys, "left_semi")
+    change = change.select(*keys, "_to", F.col("_to.new_name").alias("_new"))
+    moved = change.where("_new <> name")
+    free = moved.join(own.select("user_id", F.col("name").alias("_new")), ["user_id", "_new"], "left_anti")
+    winners = free.groupBy("user_id", "_new").agg(F.min("name").alias("name")).select(*keys)
+    kept = change.where("_new is null or _new = name").select(*keys).unionByName(winners).withColumn("_done", F.lit(True))
+    decided = lookup(change.drop("_new"), kept, keys)
+    known = lookup(updates, own.withColumn("_known", F.lit(True)), keys)
+    status = (F.when(F.col("_known").isNull(), "not_found").when(~valid, "invalid")
+              .when(~asked.eqNullSafe(F.col("_to")), "superseded").when(F.col("_done"), "updated").otherwise("conflict"))
+    return lookup(known, decided, keys).select(*updates.columns, status.alias("status"))
+
+
+def update_tags(user_tags: DataFrame, updates: DataFrame) -> DataFrame:
+    """Tags after the updates that :func:`update_outcomes` calls ``updated``. Favourites keep the old name."""
+    done = update_outcomes(user_tags, updates.select("user_id", "name", "new_name", "new_color")).where("status = 'updated'")
+    joined = lookup(user_tags, done.drop("status").distinct(), ["user_id", "name"])
+    return joined.withColumns({"name": F.coalesce("new_name", "name"), "color": F.coalesce("new_color", "color")}).select(*user_tags.columns)
 
 
 def delete_tags(user_tags: DataFrame, deletes: DataFrame, favorites: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ ZONE_SYSTEMS = {
     "wos_zone": "wos_zone",
 }
 
+KEYWORD_COLUMNS = ("ccf_abbr", "ccf_full", "ccf_publisher")
+
 # Phrases of a page served instead of content.
 BLOCKED_PHRASES = ["速度过快", "过于频繁"]
 MIN_PAGE_CHARS = 1000
@@ -46,13 +48,12 @@ def in_zones(zones: Sequence[str], system: str = "cas2025") -> Column:
     return F.col(ZONE_SYSTEMS[system]).isin([zone_text(z) for z in zones])
 
 
-def matches_keyword(text: str) -> Column:
+def matches_keyword(text: str, columns: Sequence[str] = KEYWORD_COLUMNS) -> Column:
     """Literal, ASCII-case-blind substring of abbreviation, full name or publisher.
 
-    Non-ASCII letters compare exactly. A leading-wildcard search needs a full scan
-    of three columns; it runs inside the scan stage and shuffles nothing.
+    Non-ASCII letters compare exactly. Such a search scans three columns and shuffles nothing;
+    ``keyword_index`` answers it from trigrams.
     """
-    columns = ("ccf_abbr", "ccf_full", "ccf_publisher")
     return reduce(lambda a, b: a | b, (contains_folded(F.col(c), text) for c in columns))
 
 

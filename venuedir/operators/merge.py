@@ -1,14 +1,16 @@
 """Moving guest annotations into user accounts, for all logins at once.
 
 Input is ``logins(device_id, user_id, ts)``. Each device's first login takes its
-favourites and tags along; a later login of the same device finds nothing left.
-Notes that had to stay may move at a later login to another user: that case is in
-``plans.login.merge_notes_in_order``.
+favourites and tags along; a later login of the same device finds nothing left. Notes
+that had to stay may move at a later login to another user.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from venuedir import schema
@@ -17,6 +19,7 @@ from venuedir.operators.definitions import insert_absent
 from venuedir.operators.owners import DEVICE, USER
 from venuedir.operators.replay import latest
 from venuedir.operators.skew import lookup
+from venuedir.session import shared_dir
 
 KEY = schema.ANNOTATION_KEY
 
@@ -53,34 +56,47 @@ def merge_favorites(favorites: DataFrame, logins: DataFrame) -> DataFrame:
     return best.select(*KEY, "tags", "created_at")
 
 
+def _settle(claims: DataFrame) -> DataFrame:
+    """``claims`` with ``_settled``, and ``_dropped`` where a settled claim takes the note or the user's entry."""
+    by_note, by_user = W.partitionBy("device_id", "entry_id"), W.partitionBy("user_id", "entry_id")
+    ranked = claims.withColumn("_a", F.row_number().over(by_note.orderBy("login_ts", "user_id")))
+    ranked = ranked.withColumn("_b", F.row_number().over(by_user.orderBy("login_ts", "device_id")))
+    ranked = ranked.withColumn("_settled", (F.col("_a") == 1) & (F.col("_b") == 1))
+    gone = F.max("_settled").over(by_user)
+    ranked = ranked.withColumn("_taken", gone).withColumn("_moved", F.max("_settled").over(by_note))
+    return ranked.withColumn("_dropped", ~F.col("_settled") & (F.col("_taken") | F.col("_moved"))).drop("_a", "_b", "_taken", "_moved")
+
+
 def merge_notes(notes: DataFrame, logins: DataFrame) -> DataFrame:
-    """A guest's note moves to the user if the user has none on that entry.
+    """Notes after all logins, in their order: a guest's note moves to the user if the user has none on that entry.
 
-    Otherwise the guest row stays with the device: of several devices of one user
-    the earlier login moves its note and the others keep theirs. Only the first login
-    of a device counts here.
+    Otherwise it stays with the device and may move at a later login to another user, so the
+    outcome of a login can depend on an earlier one elsewhere. A claim (device, user, entry) that is the earliest
+    both of its note and of its user's entry depends on no other. One pass settles all of those: with one user
+    per device that is everything. Only what is still contested goes through further rounds; equal times are ordered by device and user.
     """
-    rows = _with_login(notes, logins)
-    guests = rows.where(F.col("login_user").isNotNull())
-    rest = rows.where(F.col("login_user").isNull()).select(*notes.columns)
-
-    users = notes.where(F.col("owner_kind") == USER).select(
-        F.col("owner_id").alias("login_user"), "entry_id", F.lit(True).alias("_taken"))
-    claims = lookup(guests, users, ["login_user", "entry_id"])
-    free = F.col("_taken").isNull()
-    winners = latest(
-        claims.where(free).select("login_user", "entry_id", "owner_id", "login_ts"),
-        ["login_user", "entry_id"], F.asc("login_ts"), F.asc("owner_id"))
-    decided = lookup(
-        claims, winners.select("login_user", "entry_id", F.col("owner_id").alias("_winner")),
-        ["login_user", "entry_id"])
-    moves = F.coalesce(F.col("_winner") == F.col("owner_id"), F.lit(False))
-    placed = decided.select(
-        F.when(moves, USER).otherwise(F.col("owner_kind")).alias("owner_kind"),
-        F.when(moves, F.col("login_user")).otherwise(F.col("owner_id")).alias("owner_id"),
-        "entry_id", "content", "updated_at",
-    )
-    return rest.unionByName(placed)
+    shared_dir(notes.sparkSession, "logins")  # checkpoints go to the cluster's shared folder
+    taken = notes.where(F.col("owner_kind") == USER).select(F.col("owner_id").alias("user_id"), "entry_id")
+    guests = notes.where(F.col("owner_kind") == DEVICE).select(F.col("owner_id").alias("device_id"), "entry_id")
+    once = logins.groupBy("device_id", "user_id").agg(F.min("ts").alias("login_ts"))
+    # A device may hold very many notes, a user very many entries: skew-tolerant joins.
+    claims = lookup(guests, once, ["device_id"], "inner")
+    claims = lookup(claims, taken, ["user_id", "entry_id"], "left_anti").select("device_id", "user_id", "entry_id", "login_ts")
+
+    columns, moves = claims.columns, []
+    while True:
+        claims = _settle(claims).where("not _dropped").checkpoint()
+        moves.append(claims.where("_settled").select("device_id", "user_id", "entry_id"))
+        claims = claims.where("not _settled").select(*columns)
+        if claims.isEmpty():
+            break
+    target = reduce(DataFrame.unionByName, moves).select(
+        F.lit(DEVICE).alias("owner_kind"), F.col("device_id").alias("owner_id"), "entry_id", F.col("user_id").alias("_user"))
+    moved = F.col("_user").isNotNull()
+    return lookup(notes, target, KEY).withColumns({
+        "owner_kind": F.when(moved, USER).otherwise(F.col("owner_kind")),
+        "owner_id": F.coalesce("_user", "owner_id"),
+    }).select(*notes.columns)
 
 
 def merge_tags(user_tags: DataFrame, favorites: DataFrame, logins: DataFrame) -> DataFrame:

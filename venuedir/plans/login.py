@@ -5,13 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from venuedir.operators import merge
-from venuedir.operators.owners import DEVICE, USER
-from venuedir.operators.replay import latest
-from venuedir.operators.skew import lookup
-from venuedir.session import shared_dir
 
 
 @dataclass(frozen=True)
@@ -25,52 +20,6 @@ def merge_logins(before: Annotations, logins: DataFrame) -> Annotations:
     """Annotations after the logins. Every part is computed from the state before them."""
     return Annotations(
         favorites=merge.merge_favorites(before.favorites, logins),
-        notes=merge_notes_in_order(before.notes, logins),
+        notes=merge.merge_notes(before.notes, logins),
         user_tags=merge.merge_tags(before.user_tags, before.favorites, logins),
     )
-
-
-def merge_notes_in_order(notes: DataFrame, logins: DataFrame) -> DataFrame:
-    """Notes after logins of which several may be of one device to different users.
-
-    A note that could not move at one login may move at a later one, so the outcome
-    of a login can depend on an earlier one elsewhere. A claim (device, user, entry)
-    that is the earliest both of its note and of its user's entry depends on no
-    other: each round settles all such claims and drops those they rule out. With
-    one user per device the first round settles everything.
-    """
-    spark = notes.sparkSession
-    shared_dir(spark, "logins")  # checkpoints go to the cluster's shared folder
-    taken = notes.where(F.col("owner_kind") == USER).select(
-        F.col("owner_id").alias("user_id"), "entry_id")
-    guests = notes.where(F.col("owner_kind") == DEVICE).select(
-        F.col("owner_id").alias("device_id"), "entry_id")
-    once = logins.groupBy("device_id", "user_id").agg(F.min("ts").alias("login_ts"))
-    # A device may hold very many notes, a user very many entries: skew-tolerant joins.
-    claims = lookup(guests, once, ["device_id"], "inner")
-    claims = lookup(claims, taken, ["user_id", "entry_id"], "left_anti")
-    claims = claims.select("device_id", "user_id", "entry_id", "login_ts").checkpoint()
-
-    moves = None
-    while True:
-        of_note = latest(claims, ["device_id", "entry_id"], F.asc("login_ts"), F.asc("user_id"))
-        of_user = latest(claims, ["user_id", "entry_id"], F.asc("login_ts"), F.asc("device_id"))
-        settled = of_note.join(of_user, claims.columns, "left_semi").checkpoint()
-        if settled.isEmpty():
-            break
-        moves = settled if moves is None else moves.unionByName(settled)
-        claims = (
-            claims.join(settled.select("device_id", "entry_id"), ["device_id", "entry_id"], "left_anti")
-            .join(settled.select("user_id", "entry_id"), ["user_id", "entry_id"], "left_anti")
-            .select(*claims.columns).checkpoint()
-        )
-    if moves is None:
-        return notes
-    target = moves.select(F.lit(DEVICE).alias("owner_kind"), F.col("device_id").alias("owner_id"),
-                          "entry_id", F.col("user_id").alias("_user"))
-    joined = lookup(notes, target, ["owner_kind", "owner_id", "entry_id"])
-    moved = F.col("_user").isNotNull()
-    return joined.withColumns({
-        "owner_kind": F.when(moved, USER).otherwise(F.col("owner_kind")),
-        "owner_id": F.coalesce("_user", "owner_id"),
-    }).select(*notes.columns)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from venuedir import schema
 from venuedir.functions import clean
+from venuedir.session import shared_dir
 
 NATURAL_KEY = ["type", "ccf_domain", "ccf_abbr", "ccf_full"]
 CONFERENCE_FIELDS = {
@@ -57,6 +61,37 @@ def with_ids(entries: DataFrame) -> DataFrame:
     return rows.select(*[c for c in schema.ENTRY_COLUMNS if c in rows.columns])
 
 
+def load_order_ids(rows: DataFrame, order: Sequence[str], column: str = "id", first: int = 1) -> DataFrame:
+    """Dense ids ``first, first + 1, ...`` in the order of the columns ``order``, NULL first.
+
+    Rows are range-partitioned and stored with their place inside the partition; ids are that
+    place plus the counts of the partitions before. One number per partition meets in one task, never
+    the rows. Rows that tie in ``order`` get neighbouring ids in any order.
+    """
+    spark = rows.sparkSession
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    path = shared_dir(spark, "load-order")
+    # evaluated behind the sort: the partition's number in the high bits, the row's in the low 33
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    stored = spark.read.schema(placed.schema).parquet(path).withColumn("_part", F.shiftright("_place", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored.groupBy("_part").agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    made = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + first
+    return stored.join(starts, "_part").withColumn(column, made.cast("long")).drop("_part", "_place", "_before")
+
+
+def duplicate_entries(entries: DataFrame) -> DataFrame:
+    """``(id, n_rows, n_keys)`` of every id that more than one row bears.
+
+    ``n_keys`` counts natural keys: 1 means that one entry was loaded several times, more that
+    different entries share the id.
+    """
+    keys = entries.groupBy("id", *NATURAL_KEY).agg(F.count("*").alias("_n"))
+    return keys.groupBy("id").agg(F.sum("_n").alias("n_rows"), F.count("*").alias("n_keys")).where("n_rows > 1")
+
+
 def import_catalogue(journals: DataFrame, conferences: DataFrame) -> DataFrame:
     """Full catalogue rows of both kinds of import records."""
     return with_ids(combine(journal_rows(journals), conference_rows(conferences)))
@@ -84,30 +119,46 @@ def write_entries(entries: DataFrame, path: str, mode: str = "errorifexists") ->
 
 
 def load_if_absent(entries: DataFrame, path: str) -> None:
-    """Write the catalogue unless the target already exists."""
+    """Write the catalogue unless the target already exists, with or without rows."""
     write_entries(entries, path, mode="ignore")
 
 
+def load_if_empty(entries: DataFrame, path: str) -> bool:
+    """Write the catalogue unless the target holds a row; True if it was written.
+
+    A missing folder, an empty one and a table without rows are all empty.
+    """
+    try:
+        empty = read_entries(entries.sparkSession, path).limit(1).isEmpty()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        empty = True
+    if empty:
+        write_entries(entries, path, mode="append")
+    return empty
+
+
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """The catalogue table; files written before a column existed read it as NULL."""
     return spark.read.schema(schema.ENTRY).parquet(path).select(*schema.ENTRY_COLUMNS)
 
 
-def export_records(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(journals, conferences)`` in the field names of the import document."""
+def export_records(entries: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """``(journals, conferences)`` in the field names of the import document, behind the columns ``more``."""
     fields = {**schema.JOURNAL_TEXT_FIELDS, **schema.JOURNAL_NUMBER_FIELDS,
               **schema.JOURNAL_NESTED_FIELDS}
     journals = entries.where("type = 'journal'").select(
-        *[F.col(c).alias(f) for f, c in fields.items()])
+        *more, *[F.col(c).alias(f) for f, c in fields.items()])
     conferences = entries.where("type = 'conference'").select(
-        *[F.col(c).alias(f) for f, c in CONFERENCE_FIELDS.items()])
+        *more, *[F.col(c).alias(f) for f, c in CONFERENCE_FIELDS.items()])
     return journals, conferences
 
 
 def write_export(entries: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The import document as two JSON-lines tables, ``journals`` and ``conferences``.
 
-    One combined JSON value would have to pass through one task; lines do not.
+    ``large.write_large_export`` writes one document in parts instead.
     """
     journals, conferences = export_records(entries)
     journals.write.mode(mode).json(f"{path}/journals")

@@ -7,7 +7,7 @@ on a file, on a table of documents or on a stream, and a thin reader for files.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,52 +67,85 @@ def reject_counts(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _parsed_map(documents: DataFrame, of: T.DataType) -> DataFrame:
-    """``value``, and its map from names to ``of`` as ``_map``; NULL where the text is not one."""
+def members(documents: DataFrame) -> DataFrame:
+    """``(value, key, member)``: the members of JSON objects, each as its own JSON text.
+
+    A text that is no object gives one row without key and member.
+    """
     # As the only field of a record, so that Spark reports texts it can read in part only.
-    shape = T.StructType([T.StructField("_map", T.MapType(T.StringType(), of)), T.StructField(CORRUPT, T.StringType())])
+    shape = T.StructType([T.StructField("_map", T.MapType(T.StringType(), T.StringType())), T.StructField(CORRUPT, T.StringType())])
     wrapped = F.concat(F.lit('{"_map":'), "value", F.lit("}"))
     parsed = documents.select("value", F.from_json(
         wrapped, shape, {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}).alias("_r"))
-    return parsed.select("value", F.when(F.col(f"_r.{CORRUPT}").isNull(), F.col("_r._map")).alias("_map"))
+    whole = parsed.select("value", F.when(F.col(f"_r.{CORRUPT}").isNull(), F.col("_r._map")).alias("_map"))
+    bad = F.map_from_arrays(F.array(F.lit("")), F.array(F.lit(None).cast("string")))
+    rows = whole.select("value", F.col("_map").isNull().alias("_bad"), F.explode(F.coalesce("_map", bad)).alias("key", "member"))
+    return rows.select("value", F.when(~F.col("_bad"), F.col("key")).alias("key"), "member")
+
 
+def elements(rows: DataFrame) -> DataFrame:
+    """``(value, key, member, element)``: the elements of members that are arrays, each as JSON text.
+
+    A member that is no array gives one row without element, an empty one none.
+    """
+    items = F.from_json("member", T.ArrayType(T.StringType()))
+    items = F.when(F.ltrim("member").startswith("["), items)
+    return rows.select("value", "key", "member", F.explode(F.coalesce(items, F.array(F.lit(None).cast("string")))).alias("element"))
 
-def _domain_shape(record: T.StructType) -> T.ArrayType:
-    return T.ArrayType(T.StructType([f for f in record.fields if f.name != "domain"]))
 
+def as_record(text: str, record: T.StructType) -> Column:
+    """The record in a JSON text, NULL if it holds anything but an object of that shape."""
+    marked = T.StructType([*record.fields, T.StructField(CORRUPT, T.StringType())])
+    made = F.from_json(text, marked, {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"})
+    return F.when(F.ltrim(text).startswith("{") & made[CORRUPT].isNull(), made)
 
-def _map_rejects(documents: DataFrame, of: T.DataType) -> DataFrame:
-    bad = _parsed_map(documents, of).where(F.col("_map").isNull())
-    return bad.select("value", F.lit(BAD_JSON).alias("reject_reason"))
+
+def _domain_records(documents: DataFrame, record: T.StructType) -> DataFrame:
+    shape = T.StructType([f for f in record.fields if f.name != "domain"])
+    rows = elements(members(documents))
+    return rows.withColumn("_record", as_record("element", shape))
+
+
+def odd(rows: DataFrame, text: str) -> DataFrame:
+    """``(value, reject_reason, key)``: whole documents without a key, odd members with theirs and their own text."""
+    bad = rows.where(F.col("_record").isNull())
+    return bad.select(F.when(F.col("key").isNull(), F.col("value")).otherwise(F.col(text)).alias("value"),
+                      F.lit(BAD_JSON).alias("reject_reason"), "key")
 
 
 def flatten_by_domain(documents: DataFrame, record: T.StructType = schema.SOURCE_RECORD) -> DataFrame:
     """``{domain: [record, ...]}`` to records stamped with ``domain``.
 
-    The key wins over a field of the same name in the record. A text that is not such
-    a document gives no row here and one in :func:`by_domain_rejects`.
+    The key wins over a field of the same name in the record. Every record is read by itself: an odd one, or a
+    text that is no such document, gives no row here and one in :func:`by_domain_rejects`.
     """
-    by_domain = _parsed_map(documents, _domain_shape(record)).select(F.explode("_map").alias("domain", "_records"))
-    return by_domain.select(F.col("domain"), F.inline("_records"))
+    names = [f.name for f in record.fields if f.name != "domain"]
+    rows = _domain_records(documents, record).where(F.col("_record").isNotNull())
+    return rows.select(F.col("key").alias("domain"), *[F.col(f"_record.{n}").alias(n) for n in names])
 
 
 def by_domain_rejects(documents: DataFrame, record: T.StructType = schema.SOURCE_RECORD) -> DataFrame:
-    """``(value, reject_reason)`` of the texts that :func:`flatten_by_domain` cannot read."""
-    return _map_rejects(documents, _domain_shape(record))
+    """``(value, reject_reason, key)`` of what :func:`flatten_by_domain` cannot read.
+
+    Whole documents have no key; of an odd member or record, ``value`` is its own text and ``key`` its domain.
+    """
+    rows = _domain_records(documents, record)
+    return odd(rows.withColumn("element", F.coalesce("element", "member")), "element")
 
 
 def flatten_keyed(documents: DataFrame, record: T.StructType, key: str = "abbr") -> DataFrame:
     """``{key: record}`` to rows with the key as a column.
 
-    A text that is not such a document gives no row here and one in :func:`keyed_rejects`.
+    Every member is read by itself: an odd one, or a text that is no such document, gives no row here and one
+    in :func:`keyed_rejects`.
     """
-    rows = _parsed_map(documents, record).select(F.explode("_map").alias(key, "_record"))
-    return rows.select(key, "_record.*")
+    rows = members(documents).withColumn("_record", as_record("member", record)).where(F.col("_record").isNotNull())
+    return rows.select(F.col("key").alias(key), *[F.col(f"_record.{n}").alias(n) for n in record.fieldNames()])
 
 
 def keyed_rejects(documents: DataFrame, record: T.StructType) -> DataFrame:
-    """``(value, reject_reason)`` of the texts that :func:`flatten_keyed` cannot read."""
-    return _map_rejects(documents, record)
+    """``(value, reject_reason, key)`` of what :func:`flatten_keyed` cannot read: documents without, members with a key."""
+    return odd(members(documents).withColumn("_record", as_record("member", record)), "member")
 
 
 def read_by_domain(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
