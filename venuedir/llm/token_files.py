@@ -16,8 +16,9 @@ from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,12 @@ ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
 #: Distinct words whose ids a Python worker keeps, some 250 bytes each.
 CACHE_WORDS = 800_000
 
+#: Text encoded at once; distinct words are looked up once in each piece.
+SLICE_BYTES = 4_000_000
+
+#: Marks that are cut off the words they follow.
+ENDS = ".,"
+
 # How byte-level BPE cuts a text into words (fixed by the vocabulary's pre-tokenizer).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -92,13 +99,12 @@ class Encoder:
         return [t.id for t in self.model.tokenize(spelled)]
 
     def _learn(self, pieces: list[str]) -> None:
-        odd = []
+        odd, letters = [], []
         for piece in pieces:
             if piece in self.codes:  # as a part of another piece
                 continue
-            word = piece[1:] if piece[0] == " " else piece
-            if word.isalpha():
-                self._add(piece, self._word(piece))
+            if (piece[1:] if piece[0] == " " else piece).isalpha():
+                letters.append(piece)
             elif any(s in piece for s in self.special):
                 odd.append(piece)
             else:
@@ -109,25 +115,82 @@ class Encoder:
                 if len(parts) > 1:
                     at = [self.codes[part] for part in parts]
                     self._add(piece, [i for c in at for i in self.flat[self.starts[c]:self.starts[c] + self.lengths[c]]])
+        for piece in letters:
+            if piece not in self.codes:
+                self._add(piece, self._word(piece))
         for piece, done in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             self._add(piece, done.ids)
 
-    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """``(ids, n_tokens)`` of all texts, each closed by ``end_id``."""
-        if len(self.codes) > self.keep:
-            self.reset()
-        cut = [self.pieces(t) for t in texts]
-        words = [w for one in cut for w in one]
-        codes = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+    def _codes(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of all pieces; those seen for the first time are learned."""
+        codes = np.fromiter(map(self.codes.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(codes < 0)
         if len(new):
-            missing = [words[k] for k in new.tolist()]
+            missing = [pieces[k] for k in new.tolist()]
             self._learn(list(dict.fromkeys(missing)))
             codes[new] = np.fromiter(map(self.codes.__getitem__, missing), np.int64, len(missing))
+        return codes
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``(codes of the pieces, pieces per text)``.
+
+        Arrow cuts at every space and tells equal pieces apart, so Python sees each distinct one once. A text
+        with a space beside other white space is cut by :meth:`pieces` instead.
+        """
+        cut = pc.split_pattern(texts, " ")
+        counts = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(counts)
+        firsts, lasts = ends - counts, ends - 1
+        coded = cut.flatten().dictionary_encode()
+        at, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+        head = pc.not_equal(pc.utf8_ltrim_whitespace(words), words).to_numpy(zero_copy_only=False) | empty
+        tail = pc.not_equal(pc.utf8_rtrim_whitespace(words), words).to_numpy(zero_copy_only=False) | empty
+        bad_head, bad_tail = head[at], tail[at]
+        bad_head[firsts] = bad_tail[lasts] = False
+        odd = np.add.reduceat((bad_head | bad_tail).astype(np.int64), firsts) > 0
+        odd |= (counts == 1) & empty[at[firsts]]
+
+        spaced = np.repeat(~odd, counts)
+        spaced[firsts] = False
+        used = np.zeros(len(words), bool)
+        used[at[spaced]] = True
+        used = np.flatnonzero(used)
+        # A full stop or comma behind letters is a word of its own, so only the letters have to be known.
+        names = words.take(pa.array(used))
+        stems = pc.utf8_rtrim(names, characters=ENDS)
+        pair = pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False) & (
+            pc.subtract(pc.binary_length(names), pc.binary_length(stems)).to_numpy(zero_copy_only=False) == 1)
+        stems = pc.if_else(pa.array(pair), stems, names).dictionary_encode()
+        body, ends_with = np.full(len(words), -1, np.int64), np.full(len(words), -1, np.int64)
+        body[used] = self._codes([" " + w for w in stems.dictionary.to_pylist()])[stems.indices.to_numpy(zero_copy_only=False)]
+        for mark, code in zip(ENDS, self._codes(list(ENDS)).tolist(), strict=True):
+            ends_with[used[pair & pc.ends_with(names, mark).to_numpy(zero_copy_only=False)]] = code
+        first, second = body[at], ends_with[at]
+        plain = np.flatnonzero(~odd)
+        first[firsts[plain]] = self._codes(words.take(pa.array(at[firsts[plain]])).to_pylist())
+        second[firsts] = -1
+        wide = 1 + (second >= 0)
+        codes = np.repeat(first, wide)
+        codes[np.cumsum(wide)[second >= 0] - 1] = second[second >= 0]
+        counts = np.add.reduceat(wide, firsts)
+        slow = np.flatnonzero(odd)
+        if len(slow):
+            taken = {k: self._codes(self.pieces(text)) for k, text in zip(slow.tolist(), texts.take(pa.array(slow)).to_pylist(), strict=True)}
+            until = np.cumsum(counts)
+            parts = [taken[k] if k in taken else codes[until[k] - counts[k]:until[k]] for k in range(len(counts))]
+            codes, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return codes, counts
+
+    def encode(self, texts: pa.Array | list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, n_tokens)`` of all texts, each closed by ``end_id``; NULL is an empty text."""
+        if len(self.codes) > self.keep:
+            self.reset()
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        codes, counts = self._cut(texts) if len(texts) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         # copies, because arrays that are viewed cannot grow
         known, starts, flat = np.array(self.lengths), np.array(self.starts), np.array(self.flat)
         lengths = known[codes].astype(np.int64)
-        counts = np.array([len(x) for x in cut], np.int64)
         bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
         at = np.repeat(starts[codes] - (np.cumsum(lengths) - lengths), lengths)
         ids = flat[at + np.arange(len(at))]
@@ -152,9 +215,8 @@ def encode_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        for part in slices(batches, "text"):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            ids, sizes = encoder.encode(texts, end_id)
+        for part in slices(batches, "text", SLICE_BYTES):
+            ids, sizes = encoder.encode(part.column("text"), end_id)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [part.column("key"), pa.array(sizes, pa.int64()),
