@@ -34,6 +34,20 @@ def streamed(spark, sf) -> ChangeStore:
     return store
 
 
+def streamed_logins(spark, sf):
+    """Operations and logins as one stream of several micro-batches, with logins before, among and after the operations."""
+    arrived = shared_dir(spark, "arrived-logins")
+    login = d.logins(spark, sf).selectExpr(
+        "-cast(device_id as bigint) as event_id", "ts", "'device' as owner_kind", "device_id as owner_id", "cast(null as bigint) as entry_id",
+        "'login' as op", "cast(null as array<string>) as tags", "user_id as content")
+    ops = d.operations(spark, sf).select(*schema.OPERATION.fieldNames()).unionByName(login)
+    ops.repartition(BATCHES, F.xxhash64("event_id", "ts")).write.parquet(arrived)
+    source = spark.readStream.schema(schema.OPERATION).option("maxFilesPerTrigger", 1).parquet(arrived)
+    store = ChangeStore(shared_dir(spark, "changes"), buckets=4)
+    start_replay(source, store).awaitTermination()
+    return store.annotations(spark, d.user_tags(spark, sf))
+
+
 def all_logins(spark, sf):
     """Every device logs in at its first event of each kind, as one of three users."""
     events = d.table(spark, sf, "events").where("user_id%2=1")
@@ -122,6 +136,12 @@ QUERIES = {
     "stream_replay_notes": (
         lambda spark, sf: streamed(spark, sf).notes(spark),
         annotation.QUERIES["replay_notes"][1]),
+    "stream_logins": (
+        lambda spark, sf: annotation.text_tags(streamed_logins(spark, sf).favorites),
+        annotation.QUERIES["merge_favorites"][1]),
+    "stream_logins_notes": (
+        lambda spark, sf: streamed_logins(spark, sf).notes,
+        annotation.QUERIES["merge_notes"][1]),
     "replay_toggles": (
         lambda spark, sf: replay_toggles(d.operations(spark, sf).withColumn("op", F.lit("fav_toggle"))),
         d.with_ctes(d.OPS_CTE) + "select owner_kind, owner_id, entry_id, max(ts) as created_at from ops "

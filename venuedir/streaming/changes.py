@@ -1,20 +1,25 @@
-"""Continuous replay of favourites and notes.
+"""Continuous replay of favourites, notes and logins.
 
 A late remove can bring a later add back to life, so the current favourites alone are
 not enough to go on from. The operations that can still matter are: they are few, and
-replaying them gives the state (``replay.condensed``). The store keeps these, divided
-into buckets of keys. A micro-batch reads the newest version of the buckets it
-touches, adds its operations, condenses, and writes the next version, so what it reads
-grows with the live state and not with the history.
+replaying them gives the state (``replay.condensed``). The store keeps these in buckets of keys,
+each as a base and the runs that came since. A micro-batch writes its own condensed operations as one
+run per bucket and touches nothing else; where the runs of a bucket reach a share of its base, or
+are many, they are condensed into a new base. Readers replay base and runs together.
 
-Every file belongs to a batch id. A batch that is run again after a failure reads
-versions of earlier batches only and overwrites its own, so the result is the same.
+Logins are kept beside: a late one changes what earlier operations of a device mean, so devices are re-keyed to
+users when the state is read, out of all logins up to then.
+
+Every file belongs to a batch id, and counts only once the batch's list of versions is written, which comes last. A batch
+that is run again after a failure reads lists of earlier batches only and overwrites its own files, so the result is the same.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,15 +29,28 @@ from pyspark.sql.streaming import StreamingQuery
 
 from venuedir import schema
 from venuedir.operators.replay import condensed, replay_favorites, replay_notes
+from venuedir.plans.login import Annotations, merge_logins
 
 KEY = schema.ANNOTATION_KEY
-_STORED = T.StructType([*schema.OPERATION.fields, T.StructField("batch_id", T.LongType()),
-                        T.StructField("bucket", T.IntegerType())])
+RUN, BASE = "run", "base"
+#: An operation by which device ``owner_id`` logs in as the user named in ``content``.
+LOGIN = "login"
+#: A bucket is condensed when its runs hold this share of its base, or when they are this many.
+SHARE, MAX_RUNS = 0.5, 16
+_STORED = T.StructType([*schema.OPERATION.fields, T.StructField("bucket", T.IntegerType())])
+_LIST = "bucket int, kind string, batch long, rows long"
+
+
+class Version(NamedTuple):
+    bucket: int
+    kind: str
+    batch: int
+    rows: int
 
 
 @dataclass(frozen=True)
 class ChangeStore:
-    """Versions of the condensed operation log below one shared path.
+    """Condensed operations and logins below one shared path.
 
     ``buckets`` divides the keys and is fixed for the life of the store; choose it so
     that the live operations of one bucket are some hundred megabytes.
@@ -44,61 +62,73 @@ class ChangeStore:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*KEY), F.lit(self.buckets)).cast("int")
 
-    @property
-    def _versions_path(self) -> str:
-        return f"{self.path}/operations"
-
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch: merge its operations into the buckets they touch."""
+        """One micro-batch: add its run, condense the buckets that are due, list both."""
         spark = batch.sparkSession
         incoming = f"{self.path}/incoming/batch_id={batch_id}"
-        batch.select(*schema.OPERATION.fieldNames()).withColumn("bucket", self._bucket()).write.mode(
-            "overwrite").parquet(incoming)
-
+        batch.select(*schema.OPERATION.fieldNames()).write.mode("overwrite").parquet(incoming)
         # Read back: from here on nothing depends on the source being repeatable.
-        ops = spark.read.parquet(incoming)
-        touched = {r.bucket for r in ops.select("bucket").distinct().collect()}  # <= self.buckets
-        if not touched:
-            return
-        before = {b: v for b, v in self._newest(spark, batch_id - 1).items() if b in touched}
-        merged = condensed(ops.drop("bucket").unionByName(self._read(spark, before)))
+        ops = spark.read.schema(schema.OPERATION).parquet(incoming)
+        ops.where(F.col("op") == LOGIN).groupBy(F.col("owner_id").alias("device_id"), F.col("content").alias("user_id")).agg(
+            F.min("ts").alias("ts")).write.mode("overwrite").parquet(f"{self.path}/logins/batch_id={batch_id}")
+
+        added = self._write(spark, ops.where(F.col("op") != LOGIN), batch_id, RUN)
+        runs, bases = defaultdict(list), {}
+        for v in [*self._live(spark, batch_id - 1), *added]:
+            if v.kind == BASE:
+                bases[v.bucket] = v
+            else:
+                runs[v.bucket].append(v)
+        due = [v.bucket for v in added if len(runs[v.bucket]) >= MAX_RUNS
+               or sum(r.rows for r in runs[v.bucket]) > SHARE * (bases[v.bucket].rows if v.bucket in bases else 0)]
+        merged = []
+        if due:
+            old = [v for b in due for v in [*runs[b], *([bases[b]] if b in bases else [])]]
+            merged = self._write(spark, self._read(spark, old), batch_id, BASE)
+        listed = [*[v for v in added if v.bucket not in set(due)], *merged]
+        spark.createDataFrame(listed, _LIST).coalesce(1).write.mode("overwrite").parquet(f"{self._lists}/at={batch_id}")
+
+    def _write(self, spark: SparkSession, ops: DataFrame, batch_id: int, kind: str) -> list[Version]:
+        """Condense ``ops`` into one version per bucket; returns at most ``buckets`` of them."""
         # Splits a bucket with very many live operations, joins small ones.
-        spread = merged.withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
-        spread.write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{self._versions_path}/batch_id={batch_id}")
+        spread = condensed(ops).withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
+        path = f"{self.path}/operations/batch_id={batch_id}/kind={kind}"
+        spread.write.mode("overwrite").partitionBy("bucket").parquet(path)
+        counts = spark.read.schema(_STORED).parquet(path).groupBy("bucket").count().collect()
+        return [Version(r["bucket"], kind, batch_id, r["count"]) for r in counts]
 
-    def _versions(self, spark: SparkSession) -> list[tuple[int, int]]:
-        """``(bucket, batch_id)`` of every stored version, from the folder names."""
+    @property
+    def _lists(self) -> str:
+        return f"{self.path}/versions"
+
+    def _live(self, spark: SparkSession, upto: int | None = None) -> list[Version]:
+        """Each bucket's newest base and the runs since, of the batches up to ``upto``: at most MAX_RUNS + 1 a bucket."""
         try:
-            files = spark.read.schema(_STORED).parquet(self._versions_path).inputFiles()
+            listed = spark.read.schema(_LIST + ", at long").parquet(self._lists).drop("at").distinct()
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return []
-        found = {re.search(r"/batch_id=(\d+)/bucket=(\d+)/", name).groups() for name in files}
-        return [(int(bucket), int(batch)) for batch, bucket in found]
-
-    def _newest(self, spark: SparkSession, upto: int | None = None) -> dict[int, int]:
-        """Bucket to its newest version, of the batches up to ``upto``."""
-        newest: dict[int, int] = {}
-        for bucket, batch_id in self._versions(spark):
-            if upto is None or batch_id <= upto:
-                newest[bucket] = max(batch_id, newest.get(bucket, -1))
-        return newest
-
-    def _read(self, spark: SparkSession, versions: dict[int, int]) -> DataFrame:
+        if upto is not None:
+            listed = listed.where(F.col("batch") <= upto)
+        bases = listed.where(F.col("kind") == BASE).groupBy("bucket").agg(F.max("batch").alias("_base"))
+        live = listed.join(bases, "bucket", "left").where(
+            F.col("_base").isNull() | (F.col("batch") > F.col("_base")) | ((F.col("kind") == BASE) & (F.col("batch") == F.col("_base"))))
+        return [Version(r.bucket, r.kind, r.batch, r.rows) for r in live.orderBy("bucket", "batch").collect()]
+
+    def _folder(self, bucket: int, kind: str, batch_id: int) -> str:
+        return f"{self.path}/operations/batch_id={batch_id}/kind={kind}/bucket={bucket}"
+
+    def _read(self, spark: SparkSession, versions: list[Version]) -> DataFrame:
         if not versions:
             return spark.createDataFrame([], schema.OPERATION)
-        paths = [self._folder(bucket, batch_id) for bucket, batch_id in sorted(versions.items())]
-        stored = spark.read.schema(_STORED).option("basePath", self._versions_path).parquet(*paths)
-        return stored.select(*schema.OPERATION.fieldNames())
-
-    def _folder(self, bucket: int, batch_id: int) -> str:
-        return f"{self._versions_path}/batch_id={batch_id}/bucket={bucket}"
+        paths = [self._folder(v.bucket, v.kind, v.batch) for v in versions]
+        return spark.read.schema(schema.OPERATION).option("basePath", f"{self.path}/operations").parquet(*paths).select(
+            *schema.OPERATION.fieldNames())
 
     def operations(self, spark: SparkSession) -> DataFrame:
         """The operations that still matter."""
-        return self._read(spark, self._newest(spark))
+        return self._read(spark, self._live(spark))
 
     def favorites(self, spark: SparkSession) -> DataFrame:
         return replay_favorites(self.operations(spark))
@@ -106,17 +136,31 @@ class ChangeStore:
     def notes(self, spark: SparkSession) -> DataFrame:
         return replay_notes(self.operations(spark))
 
+    def logins(self, spark: SparkSession) -> DataFrame:
+        """``(device_id, user_id, ts)``: the earliest login of each device as each user."""
+        stored = spark.read.schema("device_id string, user_id string, ts timestamp_ntz").parquet(f"{self.path}/logins")
+        return stored.groupBy("device_id", "user_id").agg(F.min("ts").alias("ts"))
+
+    def annotations(self, spark: SparkSession, user_tags: DataFrame) -> Annotations:
+        """Favourites, notes and tags after all logins so far: as if everything had come in one batch."""
+        before = Annotations(self.favorites(spark), self.notes(spark), user_tags)
+        return merge_logins(before, self.logins(spark))
+
     def compact(self, spark: SparkSession, upto: int) -> None:
         """Free what finished batches up to ``upto`` have superseded.
 
-        Only folders with a newer finished version, and input already merged, go; a
+        Only versions older than a listed base, input already applied and old lists go; a
         compaction that dies on the way can simply run again.
         """
-        newest = self._newest(spark, upto)
-        old = [self._folder(b, v) for b, v in self._versions(spark) if v < newest.get(b, -1)]
-        merged = spark.read.schema(_STORED).parquet(f"{self.path}/incoming").inputFiles()
-        batches = {int(re.search(r"/batch_id=(\d+)/", name).group(1)) for name in merged}
-        old += [f"{self.path}/incoming/batch_id={b}" for b in batches if b <= upto]
+        live = self._live(spark, upto)
+        kept = {self._folder(v.bucket, v.kind, v.batch).removeprefix("file://") for v in live}
+        spark.createDataFrame(live, _LIST).coalesce(1).write.mode("overwrite").parquet(f"{self._lists}/at=-1")
+        old = []
+        for name, pattern in (("operations", r".*/batch_id=(\d+)/kind=\w+/bucket=\d+(?=/)"), ("incoming", r".*/batch_id=(\d+)(?=/)"),
+                              ("versions", r".*/at=(\d+)(?=/)")):
+            files = spark.read.schema("x int").parquet(f"{self.path}/{name}").inputFiles()
+            found = {m.group(): int(m.group(1)) for f in files if (m := re.match(pattern, f))}
+            old += [path for path, batch in found.items() if batch <= upto and not path.removeprefix("file://") in kept]
         for folder in old:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
