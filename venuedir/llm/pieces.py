@@ -35,7 +35,9 @@ SAMPLES, SHARPNESS = 2, 1.0
 #: A text whose best path holds more than this is searched node by node.
 DOMINANT = 0.2
 #: Words whose lattices a task keeps.
-CACHE_WORDS = 60_000
+CACHE_WORDS = 120_000
+#: Pieces are found by the first bits of their hash.
+TABLE_BITS = 20
 MARK = "▁"
 _LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _WORDS = re.compile(f"{MARK}+(?:[{_LATIN}]+|[^{MARK}{_LATIN}]*)|[{_LATIN}]+|[^{MARK}{_LATIN}]+")
@@ -72,6 +74,20 @@ class Lattices:
         self.of = np.array([i for i, _ in listed], np.int32)[order]
         self.weight = np.array([w for _, w in listed])[order]
         self.byte = np.array([self.bytes[b] for b in range(256)], np.int32)
+        slot = (self.hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)  # rises with the hash
+        self.first = np.searchsorted(slot, np.arange((1 << TABLE_BITS) + 1)).astype(np.int32)
+        self.crowded = int(np.diff(self.first).max())
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(which, entry)``: the hashes that belong to a piece, and its place in :attr:`hashes`."""
+        slot = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        entry, stop = self.first[slot], self.first[slot + 1]
+        which = np.flatnonzero(entry < stop)
+        entry, stop, wanted = entry[which], stop[which], hashes[which]
+        for _ in range(1, self.crowded):  # a slot holds one piece, seldom a few
+            entry = entry + ((self.hashes[entry] != wanted) & (entry + 1 < stop))
+        real = self.hashes[entry] == wanted
+        return which[real], entry[real]
 
     def word(self, word: str) -> tuple:
         """``(arcs, beta)``: per start the arcs ``(end, id, log weight)``, per place the log sum to the end."""
@@ -141,6 +157,19 @@ def search(lattices: Lattices, words: list[str], k: int, rng: np.random.Generato
     return out
 
 
+class Places(dict):
+    """Words to their number in :class:`Flat`; a new word gets the next one and is listed."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class Flat:
     """The lattices of the words met so far as arrays, for drawing many paths step by step."""
 
@@ -149,14 +178,14 @@ class Flat:
         self.reset()
 
     def reset(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = Places()
         self.base, self.best = np.zeros(0, np.int64), np.zeros(0)
         self.end, self.logp, self.cut = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
         self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.first = np.zeros(1, np.int64)
 
     def add(self, words: list[str]) -> None:
-        """Append the lattices of new words: substrings are looked up by hash, sums run from the words' ends."""
+        """Append the lattices of new words, in the order of their numbers: substrings are looked up by hash, sums run from the words' ends."""
         tables = self.lattices
         raw = [w.encode() for w in words]
         data = np.frombuffer(b"".join(raw), np.uint8)
@@ -174,11 +203,10 @@ class Flat:
             if not len(at):
                 break
             h = run_hash(prefix, edges[at], edges[at + length])
-            hit = np.minimum(np.searchsorted(tables.hashes, h), len(tables.hashes) - 1)
-            real = tables.hashes[hit] == h
-            found.append((at[real], at[real] + length, tables.of[hit[real]], tables.weight[hit[real]]))
+            which, entry = tables.find(h)
+            found.append((at[which], at[which] + length, tables.of[entry], tables.weight[entry]))
             if length == 1:
-                bare = at[~real]
+                bare = np.delete(at, which)
                 found.append((bare, bare + 1, np.full(len(bare), -1, np.int32), tables.rare * (edges[bare + 1] - edges[bare])))
         src, dst, piece, weight = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(src, kind="stable")
@@ -186,8 +214,9 @@ class Flat:
         first = np.searchsorted(src, np.arange(n + 1))
         beta, best = np.zeros(n + 1), np.zeros(n + 1)  # a word's end is reached with weight 1
         left = stop - nodes
-        by_left = np.argsort(left, kind="stable")
-        level = np.searchsorted(left[by_left], np.arange(1, (int(left.max()) if n else 0) + 2))
+        longest = int(left.max()) if n else 0
+        by_left = np.argsort(left.astype(np.uint16) if longest < 1 << 16 else left, kind="stable")  # short keys are radix-sorted
+        level = np.searchsorted(left[by_left], np.arange(1, longest + 2))
         last = dst == stop[src]
         for a, b in zip(level[:-1], level[1:], strict=True):
             now = by_left[a:b]
@@ -198,9 +227,10 @@ class Flat:
             beta[now] = np.logaddexp.reduceat(weight[arc] + np.where(last[arc], 0, beta[after]), heads)
             best[now] = np.maximum.reduceat(weight[arc] + np.where(last[arc], 0, best[after]), heads)
         logp = weight + np.where(last, 0, beta[dst]) - beta[src]
-        likely = np.lexsort((-logp, src))  # a draw mostly ends at the first arc it looks at
-        src, dst, piece, last, logp = src[likely], dst[likely], piece[likely], last[likely], logp[likely]
         p = np.exp(logp)
+        # A draw mostly ends at the first arc it looks at. In steps of 2^-20, so that the order depends on the word alone.
+        likely = np.argsort(src - np.floor(p * 2.0**20) * 2.0**-21, kind="stable")
+        dst, piece, last, logp, p = dst[likely], piece[likely], last[likely], logp[likely], p[likely]
         total = np.concatenate([[0], np.cumsum(p)])
         run = total[1:] - total[first[src]]
         run[first[1:] - 1] = 2  # the last arc takes what rounding leaves
@@ -211,7 +241,6 @@ class Flat:
         starts = np.cumsum(size) - size
         owner = np.repeat(np.arange(len(size)), size)[odd]
         spelled[odd] = tables.byte[data[edges[src[owner]] + odd - starts[owner]]]
-        self.place.update(zip(words, range(len(self.base), len(self.base) + len(words)), strict=True))
         for name, new in (("base", base + word_first), ("best", best[word_first] - beta[word_first]),
                           ("end", np.where(last, -1, base + dst)), ("logp", logp), ("cut", run),
                           ("start", len(self.ids) + starts), ("size", size), ("first", len(self.end) + first[1:]), ("ids", spelled)):
@@ -222,10 +251,11 @@ class Flat:
     def places(self, split: list[list[str]]) -> list[np.ndarray]:
         if len(self.place) > self.keep:
             self.reset()
-        new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.place]
-        if new:
-            self.add(new)
-        return [np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)) for words in split]
+        found = [np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)) for words in split]
+        if self.place.new:
+            self.add(self.place.new)
+            self.place.new = []
+        return found
 
     def draw(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(walker, arc)`` of one drawn path from every node to its word's end, in order along each path.
