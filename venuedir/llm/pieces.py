@@ -14,6 +14,7 @@ lattice that rejects the paths found before. Texts with a dominant path are sear
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 import re
@@ -35,7 +36,7 @@ SAMPLES, SHARPNESS = 2, 1.0
 #: A text whose best path holds more than this is searched node by node.
 DOMINANT = 0.2
 #: Words whose lattices a task keeps.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 200_000
 #: Pieces are found by the first bits of their hash.
 TABLE_BITS = 20
 MARK = "▁"
@@ -179,10 +180,21 @@ class Flat:
 
     def reset(self) -> None:
         self.place = Places()
+        # The arrays have spare room at their ends; `used` tells how much of each is filled.
         self.base, self.best = np.zeros(0, np.int64), np.zeros(0)
         self.end, self.logp, self.cut = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.first = np.zeros(1, np.int64)
+        self.used = dict.fromkeys(("base", "best", "end", "logp", "cut", "start", "size", "ids"), 0) | {"first": 1}
+
+    def append(self, name: str, new: np.ndarray) -> None:
+        array, used = getattr(self, name), self.used[name]
+        until = used + len(new)
+        if until > len(array):
+            array = np.concatenate([array[:used], np.zeros(max(until, used * 3 // 2) - used, array.dtype)])
+            setattr(self, name, array)
+        array[used:until] = new
+        self.used[name] = until
 
     def add(self, words: list[str]) -> None:
         """Append the lattices of new words, in the order of their numbers: substrings are looked up by hash, sums run from the words' ends."""
@@ -234,7 +246,7 @@ class Flat:
         total = np.concatenate([[0], np.cumsum(p)])
         run = total[1:] - total[first[src]]
         run[first[1:] - 1] = 2  # the last arc takes what rounding leaves
-        base = len(self.first) - 1
+        base, arcs, spelled_before = self.used["first"] - 1, self.used["end"], self.used["ids"]
         size = np.where(piece < 0, edges[dst] - edges[src], 1)
         spelled = np.repeat(piece, size)
         odd = np.flatnonzero(spelled < 0)
@@ -243,10 +255,8 @@ class Flat:
         spelled[odd] = tables.byte[data[edges[src[owner]] + odd - starts[owner]]]
         for name, new in (("base", base + word_first), ("best", best[word_first] - beta[word_first]),
                           ("end", np.where(last, -1, base + dst)), ("logp", logp), ("cut", run),
-                          ("start", len(self.ids) + starts), ("size", size), ("first", len(self.end) + first[1:]), ("ids", spelled)):
-            setattr(self, "_" + name, np.concatenate([getattr(self, name), new]))
-        for name in ("base", "best", "end", "logp", "cut", "start", "size", "first", "ids"):
-            setattr(self, name, self.__dict__.pop("_" + name))
+                          ("start", spelled_before + starts), ("size", size), ("first", arcs + first[1:]), ("ids", spelled)):
+            self.append(name, new)
 
     def places(self, split: list[list[str]]) -> list[np.ndarray]:
         if len(self.place) > self.keep:
@@ -329,6 +339,12 @@ def sample_texts(flat: Flat, texts: list[str], seeds: list[int], k: int) -> list
     return out
 
 
+@functools.lru_cache(maxsize=1)
+def _flat(path: str, sharpness: float) -> Flat:
+    """The lattices that a worker keeps from task to task; what was met before changes no result."""
+    return Flat(Lattices(path, sharpness))
+
+
 def _seed(key: object, text: str) -> int:
     return zlib.crc32(str(key).encode()) if key is not None else zlib.crc32(text.encode()) + (1 << 32)
 
@@ -358,7 +374,7 @@ def sample_segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text
     item = pa.struct([("ids", pa.list_(pa.int32())), ("logp", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = Flat(Lattices(path, sharpness))
+        flat = _flat(path, sharpness)
         for part in slices(batches, f"c{at_text}", 1_000_000):
             texts = [t or "" for t in part.column(at_text).to_pylist()]
             seeds = [_seed(row_key, t) for row_key, t in zip(part.column(at_key).to_pylist(), texts, strict=True)]
