@@ -8,6 +8,7 @@ from parity import derived as d
 from parity.pages import strip_sql
 from venuedir import schema
 from venuedir.functions import clean, tags, text, zones
+from venuedir.session import shared_dir
 from venuedir.sources import catalogue, records
 
 # --- journal documents: one JSON text per part, with the dirt real imports carry ---
@@ -99,6 +100,37 @@ JOURNALS_SQL = f"""select 'journal' as type, p_type as ccf_domain, 'A' as ccf_le
 CONFERENCES_SQL = """select 'conference', concat('D', cast(s_nationkey as string)), 'B', concat('S', cast(s_suppkey as string)),
   s_name, '', null, null, null, null, null, false, null, null, null, null from supplier"""
 
+# One value as number, as string and as something else, so that only its JSON type tells what it means.
+TYPED_JSON = ("concat('{\"ccfAbbr\":\"', " + _K + ", '\",\"ccfFull\":\"f\",\"hIndex\":', v, ',\"impactFactor\":', v, '}')")
+TYPED_VALUES = ("case p_partkey%8 when 0 then '1e7' when 1 then '\"1e7\"' when 2 then '\"1.0E7\"' when 3 then '1e20' when 4 then concat("
+                + _S + ", '.5') when 5 then 'true' when 6 then 'null' else concat('\" ', " + _S + ", 'abc\"') end")
+
+
+def typed_numbers(spark, sf):
+    documents = d.table(spark, sf, "part").selectExpr("*", f"{TYPED_VALUES} as v").selectExpr(f"{TYPED_JSON} as value")
+    rows = catalogue.journal_rows(records.accepted(records.parse_records(documents, schema.JOURNAL_IMPORT)))
+    return rows.select("ccf_abbr", "h_index", "impact_factor")
+
+
+def counted_import(spark, sf):
+    """Counts that the write observed beside those of the rows it stored."""
+    accepted, rejected, counts = records.write_counted(parsed_journals(spark, sf), shared_dir(spark, "counted"))
+    stored = (accepted.agg(F.lit(None).cast("string").alias("reject_reason"), F.count("*").alias("stored"))
+              .unionByName(rejected.groupBy("reject_reason").agg(F.count("*").alias("stored"))))
+    observed = F.lit(None).cast("long")
+    for reason, n in counts.items():
+        observed = F.when(F.col("reject_reason").eqNullSafe(F.lit(reason)), F.lit(n).cast("long")).otherwise(observed)
+    return stored.withColumn("observed", observed)
+
+
+def two_ages(spark, sf):
+    """A catalogue whose even ids were written before the column ``letpub_score`` existed."""
+    path, rows = shared_dir(spark, "two-ages"), d.entries(spark, sf)
+    catalogue.write_entries(rows.where("id % 2 = 0").drop("letpub_score"), path)
+    catalogue.write_entries(rows.where("id % 2 = 1"), path, mode="append")
+    return catalogue.read_entries(spark, path, {"letpub_score": "-1.0D"})
+
+
 # Dirty texts from real ones: a number, a label and a unit around document fields.
 NUMBER_TEXTS = ("case doc_id%6 when 0 then cast(n_chars as string) when 1 then concat(cast(n_chars as string), '.5abc') "
                 "when 2 then concat('  -', cast(n_chars as string), '.') when 3 then '-' when 4 then concat('n', cast(n_chars as string)) "
@@ -127,6 +159,18 @@ QUERIES = {
     "import_reject_counts": (
         lambda spark, sf: records.reject_counts(parsed_journals(spark, sf)),
         "select case when p_partkey%41=17 then 'bad_json' end as reject_reason, count(*) as n from part group by all"),
+    "import_numbers": (
+        typed_numbers,
+        f"""select {_K} as ccf_abbr, case p_partkey%8 when 0 then 10000000 when 1 then 1 when 2 then 1 when 4 then p_size when 7 then p_size
+            end as h_index, case when p_partkey%8<3 then 1e7 when p_partkey%8=3 then 1e20 when p_partkey%8=4 then p_size+0.5::double
+            when p_partkey%8=7 then p_size::double end as impact_factor from part"""),
+    "import_counts_observed": (
+        counted_import,
+        "select case when p_partkey%41=17 then 'bad_json' end as reject_reason, count(*) as stored, count(*) as observed from part group by all"),
+    "ensure_columns_stored": (
+        lambda spark, sf: two_ages(spark, sf).where("letpub_score < 5").select("id", "type", "letpub_score"),
+        d.E_ + "select * from (select id, type, case when id%2=0 then -1.0::double else letpub_score end as letpub_score from entries) "
+               "where letpub_score<5"),
     "flatten_catalogue": (
         lambda spark, sf: records.flatten_by_domain(domain_documents(spark, sf)),
         "select p_type as domain, p_brand as abbr, p_name as \"full\", 'A' as level, 'P' as publisher, "

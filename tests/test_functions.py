@@ -126,6 +126,15 @@ def test_tag_arrays(spark):
     assert values(spark, lambda c: tags.has_tag(c, "a%"), [["a%"], ["ab"]], kind) == [True, False]
 
 
-def test_whole_numbers_of_json(spark):
-    got = values(spark, clean.lenient_int, ["1.0E7", "1.23456785E7", "1e7", " 12", "12.9", "12abc", "1.0E20", "5.0E-4", "abc"])
-    assert got == [10_000_000, 12_345_678, 1, 12, 12, 12, None, 0, None]
+def test_numbers_by_json_type(spark):
+    got = values(spark, clean.lenient_int, ["1.0E7", "1e7", " 12", "12.9", "12abc", "99999999999", "abc"])
+    assert got == [1, 1, 12, 12, 12, None, None]
+    texts = ["1e7", '"1e7"', '"1.0E7"', "12345678.5", "-12.9", "5e-4", "1e20", "99999999999", '" 12abc"', '"-"', "true", "null",
+             "{}", "[1]", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(
+        "i", F.try_parse_json("t").alias("v")).select("i", clean.json_int(F.col("v")).alias("n"), clean.json_double(F.col("v")).alias("x"))
+    made = {r.i: (r.n, r.x) for r in rows.collect()}
+    nothing = (None, None)
+    assert [made[i] for i in range(len(texts))] == [
+        (10_000_000, 1e7), (1, 1e7), (1, 1e7), (12_345_678, 12345678.5), (-12, -12.9), (0, 5e-4), (None, 1e20), (None, 99999999999.0),
+        (12, 12.0), nothing, nothing, nothing, nothing, nothing, nothing]

@@ -110,6 +110,39 @@ def test_older_files_get_new_columns(spark):
     assert filled.where("issn is null").isEmpty() and filled.where("tags = '[]'").count() == 200
 
 
+def test_defaults_come_from_the_scan(spark):
+    """Old files read the default, stored NULLs stay, and a filter on the new column reaches the scan."""
+    path = shared_dir(spark, "test-defaults")
+    rows = derived.entries(spark, SMALL).withColumn("issn", F.when(F.col("id") % 4 != 1, F.col("issn")))
+    catalogue.write_entries(rows.where("id % 2 = 0").drop("issn"), path)
+    catalogue.write_entries(rows.where("id % 2 = 1"), path, mode="append")
+    stored = catalogue.read_entries(spark, path, {"issn": "'?'"})
+    assert stored.columns == schema.ENTRY_COLUMNS and stored.count() == 200
+    assert stored.where("id % 2 = 0 and (issn <> '?' or issn is null)").isEmpty()
+    assert stored.where("id % 4 = 1 and issn is not null").isEmpty() and not stored.where("id % 4 = 1").isEmpty()
+    asked = stored.where("issn = '?'").select("id", "issn")
+    assert asked.count() == rows.where("id % 2 = 0").count()
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(issn,?)" in plan.split("PushedFilters")[1] and "coalesce" not in plan
+    with pytest.raises(ValueError, match="no such columns"):
+        schema.with_defaults(schema.ENTRY, {"nothing": "1"})
+
+
+def test_write_counts_what_it_writes(spark):
+    good = json.dumps(JOURNAL, ensure_ascii=False)
+    texts = [good, good, "{broken", '{"ccfAbbr":"x"}', None, ""]
+    documents = spark.createDataFrame([(t,) for t in texts], "value string")
+    parsed = records.parse_records(documents, schema.JOURNAL_IMPORT, ["ccfFull"])
+    accepted, rejected, counts = records.write_counted(parsed, shared_dir(spark, "test-counted"))
+    exact = {r.reject_reason: r.n for r in records.reject_counts(parsed).collect()}
+    assert {k: n for k, n in counts.items() if n} == exact and counts[None] == accepted.count() == 2
+    assert sorted((r.value or "", r.reject_reason) for r in rejected.collect()) == sorted(
+        (r.value or "", r.reject_reason) for r in records.rejects(parsed).collect())
+    assert [r.impact_factor for r in catalogue.journal_rows(accepted).collect()] == [12.5, 12.5]
+    accepted, rejected, counts = records.write_counted(parsed.limit(0), shared_dir(spark, "test-counted"))
+    assert (accepted.count(), rejected.count(), set(counts.values())) == (0, 0, {0})
+
+
 def test_export_round_trip(spark):
     entries = derived.entries(spark, SMALL)
     path = shared_dir(spark, "test-export")

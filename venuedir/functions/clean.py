@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +12,7 @@ from venuedir.functions.text import trim_space
 
 _DOUBLE = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 _INTEGER = r"^\s*([+-]?\d+)"
-_FLOAT_TEXT = r"^-?\d\.\d+E-?\d+$"
+_NUMBER_KIND = r"^(BIGINT|DOUBLE|DECIMAL)"
 
 
 def null_sentinel(col: Column) -> Column:
@@ -24,12 +26,25 @@ def lenient_double(col: Column) -> Column:
 
 
 def lenient_int(col: Column) -> Column:
-    """Leading whole number of a text; a JSON number is cut towards zero.
+    """Leading whole number of a text, NULL when there is none or outside the int range."""
+    return F.regexp_extract(col, _INTEGER, 1).try_cast("int")
 
-    Large and small JSON numbers arrive in the form ``1.0E7`` and are read as such, NULL outside
-    the int range. A JSON string spelled exactly like that cannot be told apart; ``"1e7"`` stays 1.
-    """
-    return F.when(col.rlike(_FLOAT_TEXT), truncated_int(col.try_cast("double"))).otherwise(F.regexp_extract(col, _INTEGER, 1).try_cast("int"))
+
+def _by_json_type(col: Column, number: Callable[[Column], Column], text: Callable[[Column], Column]) -> Column:
+    """``number`` of a JSON number as a double, ``text`` of a JSON string, NULL for anything else; ``col`` is a VARIANT."""
+    kind = F.schema_of_variant(col)
+    return F.when(kind == "STRING", text(F.try_variant_get(col, "$", "string"))).when(
+        kind.rlike(_NUMBER_KIND), number(F.try_variant_get(col, "$", "double")))
+
+
+def json_double(col: Column) -> Column:
+    """A JSON number as it is, a JSON string as :func:`lenient_double` reads it."""
+    return _by_json_type(col, lambda x: x, lenient_double)
+
+
+def json_int(col: Column) -> Column:
+    """A JSON number cut towards zero (``1e7`` is 10,000,000), a JSON string as :func:`lenient_int` reads it (``"1e7"`` is 1)."""
+    return _by_json_type(col, truncated_int, lenient_int)
 
 
 def truncated_int(col: Column) -> Column:

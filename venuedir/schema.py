@@ -72,6 +72,24 @@ LIST_COLUMNS = [  # 19, the list row
     "wos_zone", "sci_type", "article_count", "letpub_score",
 ]
 
+
+def with_defaults(table: T.StructType, defaults: dict[str, str]) -> T.StructType:
+    """``table`` with column defaults, each a constant SQL expression.
+
+    The Parquet scan fills them in where a file has no such column; a NULL that is stored stays NULL.
+    """
+    def field(f: T.StructField) -> T.StructField:
+        if f.name not in defaults:
+            return f
+        sql = defaults[f.name]
+        return T.StructField(f.name, f.dataType, f.nullable, {**f.metadata, "CURRENT_DEFAULT": sql, "EXISTS_DEFAULT": sql})
+
+    unknown = set(defaults) - set(table.fieldNames())
+    if unknown:
+        raise ValueError(f"no such columns: {sorted(unknown)}")
+    return T.StructType([field(f) for f in table.fields])
+
+
 # --- annotations -------------------------------------------------------------
 
 OWNER_KEY = ["owner_kind", "owner_id"]
@@ -114,11 +132,13 @@ JOURNAL_NESTED_FIELDS = {
     "jci": "jci_json", "citeScoreRankings": "citescore_rankings",
 }
 
-# Numbers may arrive as JSON numbers or strings: both are read as text, then
-# cleaned. Nested values are read as raw JSON text, because a malformed one must
-# not spoil its record.
+# Numbers may arrive as JSON numbers or strings: they are read as VARIANT, which
+# keeps the JSON type, then cleaned. Nested values are read as raw JSON text,
+# because a malformed one must not spoil its record.
 JOURNAL_IMPORT = T.StructType(
-    _strings(*JOURNAL_TEXT_FIELDS, *JOURNAL_NUMBER_FIELDS, *JOURNAL_NESTED_FIELDS)
+    _strings(*JOURNAL_TEXT_FIELDS)
+    + [T.StructField(n, T.VariantType()) for n in JOURNAL_NUMBER_FIELDS]
+    + _strings(*JOURNAL_NESTED_FIELDS)
 )
 CONFERENCE_IMPORT = T.StructType(_strings("domain", "level", "abbr", "full", "publisher", "url"))
 IMPORT_DOCUMENT = T.StructType(

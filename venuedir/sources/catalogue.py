@@ -28,7 +28,7 @@ def journal_rows(records: DataFrame) -> DataFrame:
     """Journal import records to catalogue columns.
 
     The catalogue's own six fields default to ``''``; in the others ``''`` and ``'-'``
-    mean NULL. Numbers may be numbers or texts with a leading number.
+    mean NULL. Numbers (VARIANT) may be numbers or texts with a leading number.
     """
     own = set(schema.REQUIRED_TEXT) | set(schema.DEFAULTED_TEXT)
     columns = {"type": F.lit("journal")}
@@ -36,7 +36,7 @@ def journal_rows(records: DataFrame) -> DataFrame:
         text = F.col(field)
         columns[column] = F.coalesce(text, F.lit("")) if column in own else clean.null_sentinel(text)
     for field, column in schema.JOURNAL_NUMBER_FIELDS.items():
-        parse = clean.lenient_int if column in schema.INT_METRICS else clean.lenient_double
+        parse = clean.json_int if column in schema.INT_METRICS else clean.json_double
         columns[column] = parse(F.col(field))
     for field, column in schema.JOURNAL_NESTED_FIELDS.items():
         columns[column] = _nested(field, column)
@@ -139,9 +139,9 @@ def load_if_empty(entries: DataFrame, path: str) -> bool:
     return empty
 
 
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """The catalogue table; files written before a column existed read it as NULL."""
-    return spark.read.schema(schema.ENTRY).parquet(path).select(*schema.ENTRY_COLUMNS)
+def read_entries(spark: SparkSession, path: str, defaults: dict[str, str] | None = None) -> DataFrame:
+    """The catalogue table; files written before a column existed read it as its default (constant SQL), else as NULL."""
+    return spark.read.schema(schema.with_defaults(schema.ENTRY, defaults or {})).parquet(path).select(*schema.ENTRY_COLUMNS)
 
 
 def export_records(entries: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:

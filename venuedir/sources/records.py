@@ -7,7 +7,7 @@ on a file, on a table of documents or on a stream, and a thin reader for files.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +67,25 @@ def reject_counts(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def write_counted(parsed: DataFrame, path: str) -> tuple[DataFrame, DataFrame, dict[str | None, int]]:
+    """Write ``parsed`` below ``path``, accepted records and rejects apart; ``(accepted, rejects, counts)`` of what was written.
+
+    The input is read and parsed once: counts by reason (None: accepted) are observed by the write itself. They
+    are a report: a task that Spark runs again may be counted again. :func:`reject_counts` of the stored rows is exact.
+    """
+    reasons = [None, BAD_JSON, MISSING_FIELD]
+    seen = Observation("import")
+    is_reason = [F.col("reject_reason").eqNullSafe(F.lit(r)) for r in reasons]
+    watched = parsed.observe(seen, *[F.count_if(c).alias(f"n{i}") for i, c in enumerate(is_reason)])
+    marked = watched.withColumn("rejected", F.col("reject_reason").isNotNull())
+    marked.write.partitionBy("rejected").parquet(path)
+    counts = {r: seen.get[f"n{i}"] for i, r in enumerate(reasons)}
+    kinds = T.StructType([*parsed.schema.fields, T.StructField("rejected", T.BooleanType())])
+    stored = parsed.sparkSession.read.schema(kinds).parquet(path)
+    good, bad = stored.where("not rejected").drop("rejected"), stored.where("rejected").drop("rejected")
+    return accepted(good), rejects(bad), counts
+
+
 def members(documents: DataFrame) -> DataFrame:
     """``(value, key, member)``: the members of JSON objects, each as its own JSON text.
 
