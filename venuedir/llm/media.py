@@ -178,9 +178,13 @@ IMAGE_FEATURES = "key {kind}, height int, width int, depth int, dhash string, ti
 
 
 def image_features(media: DataFrame, key: str, image: str = "image", height: int = TILE,
-                   width: int = TILE) -> DataFrame:
-    """``(key, height, width, depth, dhash, tile, error)`` per row; broken or NULL images carry a reason."""
-    rows = media.select(F.col(key).alias("key"), F.col(image).alias("image"))
+                   width: int = TILE, stored: bool = False) -> DataFrame:
+    """``(key, height, width, depth, dhash, tile, error)`` per row; broken or NULL images carry a reason.
+
+    With ``stored`` the columns ``image`` and ``n_bytes`` go along, so that images, tiles and hashes are one table.
+    """
+    beside = ["image", "n_bytes"] if stored else []
+    rows = media.select(F.col(key).alias("key"), F.col(image).alias("image"), *beside[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "image"):
@@ -193,11 +197,13 @@ def image_features(media: DataFrame, key: str, image: str = "image", height: int
                     found.append((None, None, None, None, None, str(e)))
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string()]
             columns = [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([part.column("key"), *columns],
-                                             ["key", "height", "width", "depth", "dhash", "tile", "error"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("key"), *columns, *[part.column(c) for c in beside]],
+                ["key", "height", "width", "depth", "dhash", "tile", "error", *beside])
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, IMAGE_FEATURES.format(kind=kind)).withColumnRenamed("key", key)
+    schema = IMAGE_FEATURES.format(kind=kind) + (", image binary, n_bytes long" if stored else "")
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def text_images(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,
@@ -226,18 +232,20 @@ STORED = ("key {kind}, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def stored_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """What the stored images of :func:`text_images` hold: payload and file sums, hash and tile as one string."""
-    rows = media.select(F.col(key).alias("key"), "n_bytes", "image")
+    """What a stored table of images, tiles and hashes holds: payload and file sums, hash and tile as one string.
+
+    ``feature`` is read off the stored columns; the tile must be a NPY file, else the row fails.
+    """
+    rows = media.select(F.col(key).alias("key"), "n_bytes", "image", "dhash", "tile")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "image"):
             out = []
-            for raw in part.column("image").to_pylist():
-                x = decode(raw)
-                payload = x.tobytes()
-                tile = hashlib.sha256(npy_tile(x)).hexdigest()
+            for raw, dhash, tile in zip(*[part.column(c).to_pylist() for c in ("image", "dhash", "tile")], strict=True):
+                payload = decode(raw).tobytes()
+                cells = np.load(io.BytesIO(tile), allow_pickle=False)
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw),
-                            hashlib.sha256(raw).hexdigest(), f"dhash={difference_hash(x)};npy={tile}"))
+                            hashlib.sha256(raw).hexdigest(), f"dhash={dhash};npy={hashlib.sha256(cells.tobytes()).hexdigest()}"))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(
@@ -249,7 +257,8 @@ def stored_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document stored as a greymap, read back and described."""
+    """Every document stored as a greymap with its NPY tile and difference hash, read back and described."""
     path = scratch(spark, "media")
-    text_images(table(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
+    images = text_images(table(spark, sf_dir, "documents"))
+    image_features(images, "doc_id", stored=True).write.option("compression", "zstd").parquet(path)
     return stored_features(spark.read.parquet(path))
