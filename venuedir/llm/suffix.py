@@ -19,12 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuedir.llm.common import mix, prefix_hash, run_hash, slices, staged, table, utf8
+from venuedir.operators.skew import lookup
 
 LENGTH, GRAM, BLOCK = 400, 100, 50
+#: What a text's ranges belong to: its key and the hashes of its whole text.
+_OWNER = ["key", "f1", "f2"]
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -76,9 +79,10 @@ def refined(data: np.ndarray, length: int, gram: int, which: int) -> np.ndarray:
     return bucket
 
 
-def _identity(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each whole text."""
-    return tuple(run_hash(prefix_hash(data, k), offsets[:-1], offsets[1:], k).view(np.int64) for k in (0, 1))
+def _identified(docs: DataFrame) -> DataFrame:
+    """``docs(key, text)`` with two hashes of each whole text, ``f1`` and ``f2``."""
+    return docs.select("key", F.coalesce("text", F.lit("")).alias("text")).select(
+        "key", F.xxhash64("text").alias("f1"), F.xxhash64(F.lit(7), "text").alias("f2"), "text")
 
 
 def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -88,11 +92,10 @@ def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             data, offsets = utf8(part.column("text"))
-            f1, f2 = _identity(data, offsets)
             got = anchors(data, offsets, length, gram)
             row = got["row"]
             yield pa.RecordBatch.from_arrays(
-                [part.column("key").take(pa.array(row)), pa.array(f1[row]), pa.array(f2[row]),
+                [*[part.column(c).take(pa.array(row)) for c in _OWNER],
                  *[pa.array(got[c].astype(np.int32)) for c in names[3:6]],
                  *[pa.array(got[c].view(np.int64)) for c in names[6:]]], names)
 
@@ -111,31 +114,40 @@ def _settled(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         F.min(F.struct("key", "f1", "f2", "lo", "hi", "at", "undecided")).alias("one"))
     kinds = staged(kinds, name)
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
-    opened = kinds.join(mixed, "gram").withColumn("undecided", F.col("one.undecided") & (F.col("n") == 1))
+    opened = lookup(kinds, mixed, ["gram"], "inner").withColumn("undecided", F.col("one.undecided") & (F.col("n") == 1))
     return kinds.where("n > 1").select("s1", "s2"), opened.select(
         *[F.col(f"one.{c}").alias(c) for c in ("key", "f1", "f2", "lo", "hi", "at")], "undecided")
 
 
-_RANGE = ["f1", "f2", "lo", "hi", "at", "undecided"]
+_RANGE = ["lo", "hi", "at", "undecided"]
 
 
-def _ranges(texts: DataFrame, opened: DataFrame) -> DataFrame:
-    """``(key, text, ranges)`` of the texts with open ranges; a key's ranges are bounded by its texts."""
-    listed = opened.groupBy("key").agg(F.collect_list(F.struct(*_RANGE)).alias("ranges")).withColumnRenamed("key", "_key")
-    return texts.join(listed, F.col("key").eqNullSafe(F.col("_key"))).select("key", "text", "ranges")
+def _same_owner() -> Column:
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _OWNER]
+    return (F.col("_own") == F.col("_hash")) & same[0] & same[1] & same[2]
+
+
+def _listed(texts: DataFrame, ranges: DataFrame, fields: list[str], how: str) -> DataFrame:
+    """``(key, f1, f2, text, ranges)``: to every row the distinct ranges of its key and text.
+
+    Ranges of one key and text are bounded by the text, however many rows repeat both or have no key. The hash of
+    the three joins along, so that the join lies directly between two shuffles and rows that repeat are split.
+    """
+    ranges = ranges.groupBy(*_OWNER).agg(F.collect_set(F.struct(*fields)).alias("ranges"))
+    right = ranges.select(*[F.col(c).alias(f"_{c}") for c in _OWNER], "ranges", F.xxhash64(*_OWNER).alias("_hash"))
+    joined = texts.withColumn("_own", F.xxhash64(*_OWNER)).join(right, _same_owner(), how)
+    none = F.expr("array()").cast(ranges.schema["ranges"].dataType)
+    return joined.select(*_OWNER, "text", F.coalesce("ranges", none).alias("ranges"))
 
 
 def _unpacked(part: pa.RecordBatch, names: list[str]) -> tuple:
-    """``(bytes, offsets, f1, f2, row of each range, fields)``, only ranges of the row's own text."""
+    """``(bytes, offsets, row of each range, fields)`` of a batch of :func:`_listed`."""
     data, offsets = utf8(part.column("text"))
-    f1, f2 = _identity(data, offsets)
     listed = part.column("ranges")
     bounds = listed.offsets.to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(listed)), np.diff(bounds))
     inner = listed.values.slice(bounds[0], bounds[-1] - bounds[0])
-    fields = {c: inner.field(c).to_numpy(zero_copy_only=False) for c in names}
-    own = (fields["f1"] == f1[row]) & (fields["f2"] == f2[row])
-    return data, offsets, f1, f2, row[own], {c: x[own] for c, x in fields.items()}
+    return data, offsets, row, {c: inner.field(c).to_numpy(zero_copy_only=False) for c in names}
 
 
 def blocks(texts: DataFrame, opened: DataFrame, length: int) -> DataFrame:
@@ -144,7 +156,7 @@ def blocks(texts: DataFrame, opened: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            data, offsets, f1, f2, row, got = _unpacked(part, _RANGE)
+            data, offsets, row, got = _unpacked(part, _RANGE)
             near, far = got["at"] - got["hi"], got["at"] - got["lo"]
             n = far // BLOCK - near // BLOCK + 1
             of = np.repeat(np.arange(len(row)), n)
@@ -156,7 +168,7 @@ def blocks(texts: DataFrame, opened: DataFrame, length: int) -> DataFrame:
             first, second = prefix_hash(data, 0), prefix_hash(data, 1)
             core = base + at - BLOCK * k
             yield pa.RecordBatch.from_arrays(
-                [part.column("key").take(pa.array(row)), pa.array(f1[row]), pa.array(f2[row]),
+                [*[part.column(c).take(pa.array(row)) for c in _OWNER],
                  *[pa.array(x.astype(np.int32)) for x in (lo, hi, at)],
                  pa.array(run_hash(first, core, core + length - BLOCK + 1).view(np.int64)),
                  pa.array(run_hash(first, base + lo, base + hi + length).view(np.int64)),
@@ -164,7 +176,7 @@ def blocks(texts: DataFrame, opened: DataFrame, length: int) -> DataFrame:
                  pa.array(got["undecided"][of])], names)
 
     kind = texts.schema["key"].dataType.simpleString()
-    return _ranges(texts, opened).mapInArrow(run, f"key {kind}, f1 long, f2 long, lo int, hi int, at int, gram long, s1 long, "
+    return _listed(texts, opened, _RANGE, "inner").mapInArrow(run, f"key {kind}, f1 long, f2 long, lo int, hi int, at int, gram long, s1 long, "
                                                   "s2 long, undecided boolean")
 
 
@@ -174,30 +186,32 @@ def starts(texts: DataFrame, opened: DataFrame, length: int, gram: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            data, offsets, f1, f2, row, got = _unpacked(part, _RANGE)
+            data, offsets, row, got = _unpacked(part, _RANGE)
             n = (got["hi"] - got["lo"] + 1).astype(np.int64)
             of = np.repeat(np.arange(len(row)), n)
             lo = got["lo"][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
             row = row[of]
             ids = [refined(data, length, gram, k)[offsets[row] + lo].view(np.int64) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("key").take(pa.array(row)), pa.array(f1[row]), pa.array(f2[row]), pa.array(lo.astype(np.int32)),
+                [*[part.column(c).take(pa.array(row)) for c in _OWNER], pa.array(lo.astype(np.int32)),
                  pa.array(ids[0]), pa.array(ids[1]), pa.array(got["undecided"][of])], names)
 
     kind = texts.schema["key"].dataType.simpleString()
-    return _ranges(texts, opened).mapInArrow(
+    return _listed(texts, opened, _RANGE, "inner").mapInArrow(
         run, f"key {kind}, f1 long, f2 long, lo int, w1 long, w2 long, undecided boolean")
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``(key, f1, f2, a, b)``: byte ranges that together cover the repeated strings of ``docs(key, text)``."""
+    docs = _identified(docs)
     found = segments(docs, length, gram)
     often = found.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
-    common = staged(found.join(often, "gram").withColumn("undecided", F.lit(True)), "suffixes")
+    common = staged(lookup(found, often, ["gram"], "inner").withColumn("undecided", F.lit(True)), "suffixes")
     repeated, opened = _settled(common, "segments")
     opened = staged(opened, "open")
-    keys = opened.select(F.col("key").alias("_key")).distinct()
-    texts = staged(docs.join(keys, F.col("key").eqNullSafe(F.col("_key")), "left_semi"), "texts")
+    owners = opened.select(*[F.col(c).alias(f"_{c}") for c in _OWNER]).distinct()
+    texts = staged(docs.withColumn("_own", F.xxhash64(*_OWNER)).join(
+        owners.withColumn("_hash", F.xxhash64(*owners.columns)), _same_owner(), "left_semi").drop("_own"), "texts")
     cut = staged(blocks(texts, opened, length), "blocks")
     again, rest = _settled(cut, "segments")
     spots = staged(starts(texts, staged(rest, "open"), length, gram), "starts")
@@ -208,7 +222,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     return (covered(common.join(repeated, ["s1", "s2"]), "hi")
             .union(covered(cut.where("undecided").join(again, ["s1", "s2"]), "hi"))
-            .union(covered(spots.where("undecided").join(twice, ["w1", "w2"]), "lo")))
+            .union(covered(lookup(spots.where("undecided"), twice, ["w1", "w2"], "inner"), "lo")))
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -221,14 +235,11 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     if not 0 < gram <= length - BLOCK:
         raise ValueError("gram must be positive and leave room for a block")
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    gone = repeated_ranges(rows, length, gram).groupBy("key").agg(
-        F.collect_list(F.struct("f1", "f2", "a", "b")).alias("ranges")).withColumnRenamed("key", "_key")
-    joined = rows.join(gone, F.col("key").eqNullSafe(F.col("_key")), "left").select(
-        "key", "text", F.coalesce("ranges", F.expr("array()").cast(gone.schema["ranges"].dataType)).alias("ranges"))
+    joined = _listed(_identified(rows), repeated_ranges(rows, length, gram), ["a", "b"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            data, offsets, _, _, row, got = _unpacked(part, ["f1", "f2", "a", "b"])
+            data, offsets, row, got = _unpacked(part, ["a", "b"])
             order = np.lexsort((got["a"], row))
             row, a, b = row[order], got["a"][order].astype(np.int64), got["b"][order].astype(np.int64)
             reach = np.maximum.accumulate(b + offsets[row]) if len(row) else b  # offsets grow by row
