@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from venuedir.operators.skew import lookup
+
 #: Python tasks take texts in slices of about this many bytes, so that their arrays stay small.
 SLICE_BYTES = 2_000_000
 #: A word: anything between ASCII white space.
@@ -70,7 +72,8 @@ def n_words(text: Column) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """``(id, component_id)`` of every node of ``edges(u, v)``: the least node it is linked with.
 
-    Large-star and small-star steps, each a few joins and combining aggregates. Edges
+    Large-star and small-star steps, each a few joins and combining aggregates; the hub of a star may
+    hold any share of the edges, as its side of the join is one that Spark splits. Edges
     are written to the shared folder after every round, so a lost executor costs one
     round; the driver sees two numbers a round. Self links count as nodes; NULLs are dropped.
     """
@@ -86,7 +89,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(mark)
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = lookup(both.where("v > u"), least, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
