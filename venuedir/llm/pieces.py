@@ -35,6 +35,8 @@ MODEL = "piece_bpe_32k.model"
 SAMPLES, SHARPNESS = 2, 1.0
 #: A text whose best path holds more than this is searched node by node.
 DOMINANT = 0.2
+#: Draws of a text, beyond the paths wanted, before a search finds the rest.
+REJECTIONS = 64
 #: Words whose lattices a task keeps.
 CACHE_WORDS = 200_000
 #: Pieces are found by the first bits of their hash.
@@ -320,13 +322,17 @@ def sample_texts(flat: Flat, texts: list[str], seeds: list[int], k: int) -> list
             lazy.append(i)
     drawn: dict[int, list] = {i: [] for i in lazy}
     waiting, turn = lazy, 0
-    while waiting:  # texts that still want a path; what was found before is rejected
+    while waiting and turn < REJECTIONS + k:  # texts that still want a path; what was found before is rejected
         turn += 1
         made = flat.paths([places[i] for i in waiting], [seeds[i] + (turn << 34) for i in waiting])
         for i, path in zip(waiting, made, strict=True):
             if not any(len(x[1]) == len(path[1]) and (x[1] == path[1]).all() for x in drawn[i]):
                 drawn[i].append(path)
         waiting = [i for i in waiting if len(drawn[i]) < k]
+    for i in waiting:  # the order of a search without the paths drawn before has the law of further draws
+        seen = {tuple(ids) for _, ids in drawn[i]}
+        found = search(flat.lattices, split[i], k + len(seen), np.random.default_rng([seeds[i], turn]))
+        drawn[i] += [(logp, ids) for _, logp, ids in found if tuple(ids) not in seen][: k - len(seen)]
     for i in lazy:
         rng = np.random.default_rng(seeds[i])
         left, bound, paths = 1.0, math.inf, []
@@ -335,7 +341,7 @@ def sample_texts(flat: Flat, texts: list[str], seeds: list[int], k: int) -> list
             bound = -math.log(math.exp(-bound) + noise) if bound > -700 else bound
             paths.append((bound, logp, ids))
             left = max(left - math.exp(logp), 1e-300) if ids is not None else left
-        out[i] = (paths[:-1], paths[-1][0])
+        out[i] = (paths[:-1], paths[-1][0] if len(paths) > k else -math.inf)
     return out
 
 
