@@ -115,3 +115,32 @@ def test_load_if_empty(spark, tmp_path):
         assert catalogue.load_if_empty(rows.where("id < 10"), str(path)) is True
         assert catalogue.load_if_empty(rows, str(path)) is False
         assert catalogue.read_entries(spark, str(path)).count() == rows.where("id < 10").count()
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """The frames written as Parquet during a test, by the last part of their path."""
+    from pyspark.sql.readwriter import DataFrameWriter
+    frames, parquet = {}, DataFrameWriter.parquet
+
+    def record(self, path, *rest, **more):
+        frames[path.rsplit("/", 1)[1]] = self._df
+        return parquet(self, path, *rest, **more)
+    monkeypatch.setattr(DataFrameWriter, "parquet", record)
+    return frames
+
+
+def test_trigrams_are_made_once_and_in_many_tasks(names, tmp_path, written):
+    KeywordIndex(str(tmp_path / "i"), buckets=4).build(names.coalesce(1))
+    text = written["postings"]._jdf.queryExecution().optimizedPlan().toString()
+    # no range shuffle, whose bounds need a pass of their own; texts are spread below the explosion
+    assert "gram" in text and text.index("RebalancePartitions") < text.index("Generate") < text.index("RepartitionByExpression")
+
+
+def test_ranked_rows_are_spread_before_they_are_sorted_into_ranges(spark, tmp_path, written):
+    rows = spark.range(12_000, numPartitions=1).selectExpr("id", "cast(id % 7 as double) as impact_factor")
+    ranked = RankedRows(str(tmp_path / "r"), "impact_factor", "asc")
+    ranked.build(rows, range_rows=5000)
+    text = plan(written["rows"])
+    assert "rangepartitioning" in text and "hashpartitioning" in text.split("rangepartitioning")[1]
+    assert [r.id for r in ranked.page(spark, 2, 3).collect()] == [21, 28, 35]

@@ -12,7 +12,6 @@ hash of the id, so a search reads one partition of postings and the text blocks
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +24,13 @@ GRAM = 3
 
 def grams(text: Column) -> Column:
     """Distinct trigrams of a text, letters folded; NULL and shorter texts have none."""
-    letters = F.regexp_extract_all(fold_ascii(text), F.lit("(?s)."), F.lit(0))
-    # shifted copies are zipped: a lambda over positions would split the text anew for each of them
-    shifted = [F.slice(letters, k + 1, F.size(letters) - (GRAM - 1)) for k in range(GRAM)]
-    made = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y)), shifted)
-    return F.array_distinct(F.when(F.char_length(text) >= GRAM, made).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(_all_grams(text))
+
+
+def _all_grams(text: Column) -> Column:
+    # one pass: each match takes one character and looks ahead for the gram that starts with it
+    found = F.regexp_extract_all(fold_ascii(text), F.lit(f"(?s)(?=({'.' * GRAM}))."), F.lit(1))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def keyword_grams(text: str) -> list[str]:
@@ -53,25 +54,28 @@ class KeywordIndex:
     def build(self, rows: DataFrame) -> None:
         """Write the index of ``rows``.
 
-        A trigram of very many rows is spread over files by id: the sort key of the range shuffle ends with
-        it. Counts come from a combining aggregate.
+        Texts are spread over all tasks before their trigrams are made, however few files they come from, and
+        trigrams are made once: a bucket is one hash partition that Spark splits by size, so a trigram of very many
+        rows lies in several files. Counts come from a combining aggregate.
         """
+        spark = rows.sparkSession
         block = _bucket(F.col("id"), self.buckets).alias("block")
         texts = rows.select("id", *self.columns, block)
-        texts.repartitionByRange("block", "id").write.partitionBy("block").parquet(f"{self.path}/texts")
-        found = F.array_distinct(F.flatten(F.array(*[F.coalesce(grams(F.col(c)), F.array().cast("array<string>")) for c in self.columns])))
-        posts = rows.select("id", block, F.explode(found).alias("gram")).withColumn("bucket", _bucket(F.col("gram"), self.buckets))
-        (posts.repartitionByRange("bucket", "gram", "id").sortWithinPartitions("bucket", "gram", "block", "id")
+        texts.hint("rebalance", "block").write.partitionBy("block").parquet(f"{self.path}/texts")
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        spread = texts.repartition(tasks, "id", *self.columns)
+        found = F.array_distinct(F.concat(*[_all_grams(F.col(c)) for c in self.columns]))
+        posts = spread.select("id", "block", F.explode(found).alias("gram")).withColumn("bucket", _bucket(F.col("gram"), self.buckets))
+        (posts.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram", "block", "id")
          .write.partitionBy("bucket").parquet(f"{self.path}/postings"))
-        stored = posts.sparkSession.read.parquet(f"{self.path}/postings")
+        stored = spark.read.parquet(f"{self.path}/postings")
         counts = stored.groupBy("bucket", "gram").agg(F.count("*").alias("n"))
         counts.repartitionByRange("bucket", "gram").write.partitionBy("bucket").parquet(f"{self.path}/counts")
 
     def rarest(self, spark: SparkSession, text: str) -> str | None:
         """The keyword's rarest trigram, None if one of them occurs nowhere. One row per trigram of the keyword is read."""
         wanted = keyword_grams(text)
-        buckets = [r[0] for r in spark.createDataFrame([(g,) for g in wanted], "g string")
-                   .select(_bucket(F.col("g"), self.buckets)).distinct().collect()]
+        buckets = sorted(set(spark.range(1).select(*[_bucket(F.lit(g), self.buckets) for g in wanted]).first()))
         counts = spark.read.parquet(f"{self.path}/counts").where(F.col("bucket").isin(buckets) & F.col("gram").isin(wanted))
         found = {r.gram: r.n for r in counts.select("gram", "n").collect()}
         return min(wanted, key=lambda g: (found[g], g)) if len(found) == len(wanted) else None
