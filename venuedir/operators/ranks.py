@@ -13,6 +13,8 @@ from venuedir.operators.paging import check_page, ordering, sort_keys
 
 #: Rows per stored range; a page reads one or two.
 RANGE_ROWS = 200_000
+#: Rows per task in front of the range shuffle, and the most tasks there (Spark writes a shuffle of so few without a buffer).
+SPREAD_ROWS, MAX_SPREAD = 5_000, 200
 
 
 class RankedRows:
@@ -25,10 +27,15 @@ class RankedRows:
         """Write ``rows``, which have a unique ``id``, in ranges of about ``range_rows``, each row with its place in its range.
 
         Spark's range partitioning makes the global order; one count per range is all that is summed in one place.
+        A task of the range shuffle holds the rows it sorts into ranges, so rows are spread first, however few files they come from.
         """
         spark, columns = rows.sparkSession, ordering(self.keys)
-        parts = max(1, -(-rows.count() // range_rows))
-        ranged = rows.repartitionByRange(parts, *columns).sortWithinPartitions(*columns).withColumns({
+        total = rows.count()
+        parts = max(1, -(-total // range_rows))
+        spread = rows.repartition(max(1, min(MAX_SPREAD, -(-total // SPREAD_ROWS))), F.xxhash64("id"))
+        # the column keeps Spark from taking the two shuffles for one
+        ranged = spread.withColumn("_tie", F.xxhash64("id")).repartitionByRange(parts, *columns, "_tie").drop("_tie")
+        ranged = ranged.sortWithinPartitions(*columns).withColumns({
             "_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
         ranged.write.partitionBy("_range").parquet(f"{self.path}/rows")
         before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
