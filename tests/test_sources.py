@@ -162,3 +162,21 @@ def test_ids_are_stable(spark):
     a, b = catalogue.with_ids(rows), catalogue.with_ids(rows.repartition(7, "ccf_full"))
     assert a.select("id", "ccf_abbr").exceptAll(b.select("id", "ccf_abbr")).isEmpty()
     assert a.select("id").distinct().count() == 200
+
+
+def test_counted_write_does_not_sort_by_the_flag(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from venuedir import schema
+    from venuedir.sources import records
+    name, parquet, seen = "spark.sql.maxConcurrentOutputFileWriters", DataFrameWriter.parquet, []
+
+    def record(self, path, *rest, **more):
+        seen.append(spark.conf.get(name))
+        return parquet(self, path, *rest, **more)
+    monkeypatch.setattr(DataFrameWriter, "parquet", record)
+    before = spark.conf.get(name)
+    texts = spark.createDataFrame([('{"ccfAbbr":"%d"}' % i if i % 3 else "{",) for i in range(30)], "value string")
+    good, bad, counts = records.write_counted(records.parse_records(texts, schema.JOURNAL_IMPORT), str(tmp_path / "w"))
+    assert seen == ["2"] and spark.conf.get(name) == before
+    assert (good.count(), bad.count(), counts) == (20, 10, {None: 20, records.BAD_JSON: 10, records.MISSING_FIELD: 0})

@@ -6,6 +6,9 @@ on a file, on a table of documents or on a stream, and a thin reader for files.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +70,18 @@ def reject_counts(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@contextmanager
+def _two_writers(spark: SparkSession) -> Iterator[None]:
+    """Each task keeps a file open for both values of a flag, where it would else hold and sort its rows by it."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_counted(parsed: DataFrame, path: str) -> tuple[DataFrame, DataFrame, dict[str | None, int]]:
     """Write ``parsed`` below ``path``, accepted records and rejects apart; ``(accepted, rejects, counts)`` of what was written.
 
@@ -78,7 +93,8 @@ def write_counted(parsed: DataFrame, path: str) -> tuple[DataFrame, DataFrame, d
     is_reason = [F.col("reject_reason").eqNullSafe(F.lit(r)) for r in reasons]
     watched = parsed.observe(seen, *[F.count_if(c).alias(f"n{i}") for i, c in enumerate(is_reason)])
     marked = watched.withColumn("rejected", F.col("reject_reason").isNotNull())
-    marked.write.partitionBy("rejected").parquet(path)
+    with _two_writers(parsed.sparkSession):
+        marked.write.partitionBy("rejected").parquet(path)
     counts = {r: seen.get[f"n{i}"] for i, r in enumerate(reasons)}
     kinds = T.StructType([*parsed.schema.fields, T.StructField("rejected", T.BooleanType())])
     stored = parsed.sparkSession.read.schema(kinds).parquet(path)
