@@ -19,15 +19,15 @@ from venuedir.sources import catalogue
 from venuedir.streaming.changes import ChangeStore, start_replay
 
 
-#: Files the events arrive in; a trigger takes one.
-BATCHES = 5
+#: Micro-batches the events arrive in, and the files of one, which are read side by side.
+BATCHES, FILES = 5, 8
 
 
 def streamed(spark, sf) -> ChangeStore:
     """Replay the events as a file stream of several micro-batches, each reaching over the whole time."""
     events, arrived = d.table(spark, sf, "events"), shared_dir(spark, "arrived")
-    events.repartition(BATCHES).write.parquet(arrived)
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+    events.repartition(BATCHES * FILES).write.parquet(arrived)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(arrived)
     ops = source.selectExpr(*[f"{sql} as {name}" for name, sql in d.OPERATION_EXPRESSIONS.items()])
     store = ChangeStore(shared_dir(spark, "changes"), buckets=4)
     start_replay(ops.withColumn("tags", decode_tags(F.col("tags"))), store).awaitTermination()
@@ -41,8 +41,8 @@ def streamed_logins(spark, sf):
         "-cast(device_id as bigint) as event_id", "ts", "'device' as owner_kind", "device_id as owner_id", "cast(null as bigint) as entry_id",
         "'login' as op", "cast(null as array<string>) as tags", "user_id as content")
     ops = d.operations(spark, sf).select(*schema.OPERATION.fieldNames()).unionByName(login)
-    ops.repartition(BATCHES, F.xxhash64("event_id", "ts")).write.parquet(arrived)
-    source = spark.readStream.schema(schema.OPERATION).option("maxFilesPerTrigger", 1).parquet(arrived)
+    ops.repartition(BATCHES * FILES, F.xxhash64("event_id", "ts")).write.parquet(arrived)
+    source = spark.readStream.schema(schema.OPERATION).option("maxFilesPerTrigger", FILES).parquet(arrived)
     store = ChangeStore(shared_dir(spark, "changes"), buckets=4)
     start_replay(source, store).awaitTermination()
     return store.annotations(spark, d.user_tags(spark, sf))

@@ -174,3 +174,20 @@ def test_file_stream(spark):
     favorites, notes = model(rows)
     assert as_dict(store.favorites(spark), "tags", "created_at") == favorites
     assert as_dict(store.notes(spark), "content", "updated_at") == notes
+
+
+def test_first_run_of_a_bucket_stands_for_its_base(spark, tmp_path):
+    """What one batch has condensed is not condensed again before there is something to merge it with."""
+    from venuedir.streaming.changes import ChangeStore
+    rows = [(i, "user", str(i % 5), i % 3, "fav_add" if i % 2 else "note_upsert") for i in range(60)]
+    ops = spark.createDataFrame(rows, "event_id long, owner_kind string, owner_id string, entry_id long, op string").selectExpr(
+        "event_id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, event_id) as ts", "owner_kind", "owner_id", "entry_id", "op",
+        "cast(null as array<string>) as tags", "'n' as content")
+    store = ChangeStore(str(tmp_path / "s"), buckets=2)
+    store.apply(ops.where("event_id < 30"), 0)
+    assert not list(tmp_path.glob("s/operations/batch_id=0/kind=base/*"))
+    store.apply(ops.where("event_id >= 30"), 1)
+    assert list(tmp_path.glob("s/operations/batch_id=1/kind=base/*"))
+    from venuedir.operators.replay import replay_favorites, replay_notes
+    for got, want in ((store.favorites(spark), replay_favorites(ops)), (store.notes(spark), replay_notes(ops))):
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -71,14 +71,13 @@ def condensed(ops: DataFrame) -> DataFrame:
     replaying the whole log with those others gives.
     """
     stamped = F.struct("ts", "event_id", "op", "tags", "content")
-    last = ops.groupBy(*KEY).agg(
-        F.max(F.when(F.col("op") == FAV_REMOVE, stamped)).alias("_remove"),
-        F.max(F.when(F.col("op") == FAV_TAGS, stamped)).alias("_tags"),
-        F.max(F.when(F.col("op").isin(NOTE_OPS), stamped)).alias("_note"))
-    kept = last.select(*KEY, F.explode(F.array("_remove", "_tags", "_note")).alias("_op"))
-    kept = kept.where(F.col("_op").isNotNull()).select(*KEY, "_op.*")
+    # The two note operations are one kind, of which the last one counts.
+    kind = F.when(F.col("op").isin(NOTE_OPS), "note").otherwise(F.col("op")).alias("_kind")
+    last = ops.where(F.col("op").isin([FAV_REMOVE, FAV_TAGS, *NOTE_OPS])).groupBy(*KEY, kind).agg(F.max(stamped).alias("_op"))
+    kept = last.select(*KEY, "_op.*")
+    removes = ops.where(F.col("op") == FAV_REMOVE).groupBy(*KEY).agg(F.max(F.struct("ts", "event_id")).alias("_remove"))
     adds = ops.where(F.col("op") == FAV_ADD).select(*kept.columns)
-    return kept.unionByName(_behind_last_remove(adds, last).distinct())
+    return kept.unionByName(_behind_last_remove(adds, removes).distinct())
 
 
 def latest(rows: DataFrame, keys: list[str], *newest_first: Column) -> DataFrame:

@@ -79,8 +79,7 @@ class ChangeStore:
                 bases[v.bucket] = v
             else:
                 runs[v.bucket].append(v)
-        due = [v.bucket for v in added if len(runs[v.bucket]) >= MAX_RUNS
-               or sum(r.rows for r in runs[v.bucket]) > SHARE * (bases[v.bucket].rows if v.bucket in bases else 0)]
+        due = [v.bucket for v in added if self._is_due(runs[v.bucket], bases.get(v.bucket))]
         merged = []
         if due:
             old = [v for b in due for v in [*runs[b], *([bases[b]] if b in bases else [])]]
@@ -88,6 +87,12 @@ class ChangeStore:
         listed = [*[v for v in added if v.bucket not in set(due)], *merged]
         spark.createDataFrame(listed, _LIST).coalesce(1).write.mode("overwrite").parquet(f"{self._lists}/at={batch_id}")
 
+    @staticmethod
+    def _is_due(runs: list[Version], base: Version | None) -> bool:
+        """Whether a bucket is to be condensed. Without a base its first run, which is condensed in itself, stands for one."""
+        first, later = (base, runs) if base else (runs[0], runs[1:])
+        return len(runs) >= MAX_RUNS or sum(r.rows for r in later) > SHARE * first.rows
+
     def _write(self, spark: SparkSession, ops: DataFrame, batch_id: int, kind: str) -> list[Version]:
         """Condense ``ops`` into one version per bucket; returns at most ``buckets`` of them."""
         # Splits a bucket with very many live operations, joins small ones.
