@@ -193,3 +193,15 @@ def test_typed_fields(spark):
                                "page_id long, url string, html string")
     got = pages.extract(df).first()
     assert (got.five_year_if, got.h_index, got.eissn, got.country, got.jif) == (5.5, 12, None, None, [])
+
+
+def test_sections_are_found_in_one_pass(spark):
+    """A header whose last character starts the next one counts, and only its first place does."""
+    from venuedir.operators import pages
+    html = pages.CITESCORE_HEADER + pages.CITESCORE_HEADER[1:] + pages.JIF_HEADER + "a" + pages.JIF_HEADER + "b" + pages.JCI_HEADER + "c"
+    staged = pages._with_sections(spark.createDataFrame([(html,), (None,)], "html string"))
+    got = staged.select("_citescore_at", "_jif_section", "_jci_section").collect()
+    assert tuple(got[0]) == (1 + 1, pages.JIF_HEADER + "a" + pages.JIF_HEADER + "b", pages.JCI_HEADER + "c")
+    assert tuple(got[1]) == (None, None, None)
+    text = staged._jdf.queryExecution().optimizedPlan().toString()
+    assert "locate(" not in text and "instr(html" not in text

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # \s is ASCII only, so the rest of the set is spelled out.
 SPACE_CLASS = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS = f"[{SPACE_CLASS}]"
+# The same set; one comparison decides for ASCII, which matters where every character is tested.
+_WS_RUN = r"[\s[\u00a0-\ufeff&&[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]]]+"
 NOT_WS = f"[^{SPACE_CLASS}]"
 
 _FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -37,11 +39,12 @@ def trim_space(col: Column) -> Column:
 
 
 def strip_markup(col: Column) -> Column:
-    """Tags to blanks, two entities decoded, whitespace collapsed and trimmed."""
-    text = F.regexp_replace(col, r"<[^>]+>", " ")
-    text = F.replace(text, F.lit("&nbsp;"), F.lit(" "))
-    text = F.replace(text, F.lit("&amp;"), F.lit("&"))
-    return F.trim(F.regexp_replace(text, f"{WS}+", " "))
+    """Tags to blanks, two entities decoded, whitespace collapsed and trimmed.
+
+    One pass: a run of tags, blanks and ``&nbsp;`` is one blank. The possessive loop needs no stack.
+    """
+    text = F.regexp_replace(col, rf"(?:<[^>]+>|{_WS_RUN}|&nbsp;)++", " ")
+    return F.trim(F.replace(text, F.lit("&amp;"), F.lit("&")))
 
 
 def first_number(col: Column) -> Column:

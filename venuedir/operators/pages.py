@@ -52,6 +52,11 @@ RANKING_WORDS = ["大类", "小类", "学科"]
 JIF_HEADER = "按JIF指标学科分区"
 JCI_HEADER = "按JCI指标学科分区"
 
+# Headers and the column of the first piece that starts with each; none is the beginning of another.
+_HEADERS = {CITESCORE_HEADER: "_citescore_at", RANKING_HEADER: "_ranking_at", JIF_HEADER: "_jif_at",
+            JCI_HEADER: "_jci_at", TABLE_HEADER: "_table_at"}
+_HEADER_CUT = f"(?=[{''.join(sorted({h[0] for h in _HEADERS}))}])(?={'|'.join(map(re.escape, _HEADERS))})"
+
 # Fields behind a fixed text as (the text, the rest of the pattern).
 _NAME = ("期刊名字</span>", r'(?-i:.*?alt="([^"]+)")')
 _H_INDEX = ("(?i)h-index", rf".*?</td>{WS}*<td[^>]*>{WS}*(\d+){WS}*<")
@@ -98,28 +103,39 @@ def _cell(column: str) -> Column:
     return F.coalesce(F.get(F.col("_values"), at), F.lit(""))
 
 
+def _header_kind(piece: Column, i: Column) -> Column:
+    """Which header a piece starts with; the piece in front of all headers has none.
+
+    A header's last character may belong to the next piece, where it starts another one.
+    """
+    kind = F.when(i == 0, F.lit(None).cast("int"))
+    for k, header in enumerate(_HEADERS):
+        kind = kind.when(piece.startswith(header[:-1]), k)
+    return kind
+
+
 def _with_sections(pages: DataFrame) -> DataFrame:
     """Cut out the sections that are searched for repeated rows; NULL where there is none.
 
     A section ends where the next one begins, at a later header of another kind, or with the page.
-    The CiteScore data row needs no end, as its own tags delimit it. Positions are columns of their
-    own, so that each header is looked for once.
+    The CiteScore data row needs no end, as its own tags delimit it. One pass cuts the page in front of
+    all headers; the rest counts pieces.
     """
-    html = F.col("html")
-    staged = pages.withColumns({
-        "_citescore_at": F.instr(html, CITESCORE_HEADER), "_ranking_at": F.instr(html, RANKING_HEADER),
-        "_jif_at": F.instr(html, JIF_HEADER), "_jci_at": F.instr(html, JCI_HEADER)})
+    staged = pages.withColumn("_cuts", F.split(F.concat(F.lit(" "), "html"), _HEADER_CUT, -1))
+    staged = staged.withColumn("_kinds", F.transform("_cuts", _header_kind))
+    staged = staged.withColumns({
+        name: F.array_position("_kinds", F.lit(k)).cast("int") for k, name in enumerate(_HEADERS.values())})
+
+    def between(at: Column, end: Column) -> Column:
+        return F.when(at > 0, F.array_join(F.slice("_cuts", at, end - at), ""))
 
     def section(name: str, others: list[str]) -> Column:
         at = F.col(name)
-        tables = F.locate(TABLE_HEADER, html, 1)
-        later = [F.when(F.col(o) > at, F.col(o)) for o in others] + [F.when(tables > at, tables)]
-        end = F.coalesce(F.least(*later), F.length(html) + 1)
-        return F.when(at > 0, F.substring(html, at, end - at))
+        later = [F.when(F.col(o) > at, F.col(o)) for o in [*others, "_table_at"]]
+        return between(at, F.coalesce(F.least(*later), F.size("_cuts") + 1))
 
     staged = staged.withColumns({
-        "_citescore_row": citescore_row(F.when(F.col("_citescore_at") > 0, F.substring(
-            html, F.col("_citescore_at"), F.length(html)))),
+        "_citescore_row": citescore_row(between(F.col("_citescore_at"), F.size("_cuts") + 1)),
         "_jif_section": section("_jif_at", ["_jci_at", "_ranking_at"]),
         "_jci_section": section("_jci_at", ["_jif_at", "_ranking_at"]),
     })

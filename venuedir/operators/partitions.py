@@ -19,19 +19,26 @@ TABLE_HEADER = "大类学科</th>"
 VERSIONS = ["xinrui", "cas2025", "cas2023"]
 CELLS_NEEDED = 4
 
-# Cuts in front of tags, and the tags that open and close a level.
-_ROW_CUT, _ROW_OPEN, _ROW_CLOSE = r"(?i)(?=<tr)|(?=</tr>)", r"(?i)\A<tr", r"(?i)\A</tr>"
-_CELL_CUT, _CELL_OPEN, _CELL_CLOSE = (
-    r"(?i)(?=<td[^>]*>)|(?=</td>)", r"(?i)\A<td[^>]*>", r"(?i)\A</td>")
+# Cuts in front of the tags that open and close a level.
+_ROW_CUT, _CELL_CUT = r"(?i)(?=<tr)|(?=</tr>)", r"(?i)(?=<td[^>]*>)|(?=</td>)"
 _PARTITION_CELL = rf"(?i)\A<td[^>]*padding:{WS}*8px[^>]*>"
 _CATEGORY_CELL = r'(?is)<td[^>]*style="padding:4px;">(.*?)</td>'
 _ZONE_SPAN = r'(?i)<span[^>]*style="([^"]*)"[^>]*>(\d)区</span>'
-_HIDDEN = "display: ?none"
+_HIDDEN, _HIDING = "display: ?none", "display:"
 _YES, _NOT_APPLICABLE = "是", "N/A"
 
 
 def visible_zone(html: Column) -> Column:
-    """The first zone span that is not hidden, ``''`` when there is none."""
+    """The first zone span that is not hidden, ``''`` when there is none.
+
+    Only texts that may hide something are searched for all their spans.
+    """
+    first = F.regexp_extract(html, _ZONE_SPAN, 2)
+    plain = F.when(first == "", first).otherwise(F.concat(first, F.lit("区")))
+    return F.when(html.contains(_HIDING), _first_shown(html)).otherwise(F.coalesce(plain, F.lit("")))
+
+
+def _first_shown(html: Column) -> Column:
     spans = F.arrays_zip(
         F.regexp_extract_all(html, F.lit(_ZONE_SPAN), F.lit(1)).alias("style"),
         F.regexp_extract_all(html, F.lit(_ZONE_SPAN), F.lit(2)).alias("zone"))
@@ -39,10 +46,17 @@ def visible_zone(html: Column) -> Column:
     return F.coalesce(F.concat(shown, F.lit("区")), F.lit(""))
 
 
-def _levels(pieces: Column, opens: str, closes: str) -> Column:
-    """What each piece does to the nesting depth."""
-    return F.transform(pieces, lambda piece: F.when(piece.rlike(opens), 1)
-                       .when(piece.rlike(closes), -1).otherwise(0))
+def _row_levels(pieces: Column) -> Column:
+    """What each piece does to the nesting depth of rows; plain comparisons, as pieces are many."""
+    return F.transform(pieces, lambda piece: F.when(F.lower(F.left(piece, F.lit(3))) == "<tr", 1)
+                       .when(F.lower(F.left(piece, F.lit(5))) == "</tr>", -1).otherwise(0))
+
+
+def _cell_levels(pieces: Column) -> Column:
+    """The same for cells, whose opening tag has to end inside the piece."""
+    return F.transform(pieces, lambda piece: F.when(
+        (F.lower(F.left(piece, F.lit(3))) == "<td") & piece.contains(">"), 1)
+        .when(F.lower(F.left(piece, F.lit(5))) == "</td>", -1).otherwise(0))
 
 
 def _balanced(levels: Column, depth: int) -> Column:
@@ -88,7 +102,7 @@ def with_partitions(pages: DataFrame, html: str = "html") -> DataFrame:
     staged = staged.withColumns({
         c: F.split(F.col(r), _CELL_CUT) for c, r in zip(_columns("pieces"), _columns("row"))})
     staged = staged.withColumns({
-        c: _levels(F.col(t), _CELL_OPEN, _CELL_CLOSE)
+        c: _cell_levels(F.col(t))
         for c, t in zip(_columns("levels"), _columns("pieces"))})
     staged = staged.withColumns({
         c: _partition_cells(F.col(t), F.col(n))
@@ -101,20 +115,20 @@ def with_partitions(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def _first_row(pieces: Column) -> Column:
     """The balanced row at the start, without its closing tag; NULL when it stays open."""
-    taken = _balanced(_levels(pieces, _ROW_OPEN, _ROW_CLOSE), 0)
+    taken = _balanced(_row_levels(pieces), 0)
     return F.array_join(F.slice(pieces, F.lit(1), taken - 1), "")
 
 
 def _partition_cells(pieces: Column, levels: Column) -> Column:
     """Contents of the first four partition cells; NULL entries are unbalanced cells."""
     at = F.filter(
-        F.transform(pieces, lambda piece, i: F.when(piece.rlike(_PARTITION_CELL), i)),
+        F.transform(pieces, lambda piece, i: F.when(piece.contains("8") & piece.rlike(_PARTITION_CELL), i)),
         lambda i: i.isNotNull())
 
     def content(i: Column) -> Column:
         # Piece i is the opening tag with the text behind it; its close is piece i + taken.
         rest = F.slice(levels, i + 2, F.size(levels))
-        head = F.regexp_replace(F.get(pieces, i), _CELL_OPEN, "")
+        head = F.substr(F.get(pieces, i), F.instr(F.get(pieces, i), F.lit(">")) + 1)
         inner = F.slice(pieces, i + 2, _balanced(rest, 1) - 1)
         return F.concat(head, F.array_join(inner, ""))
 
@@ -130,14 +144,17 @@ def _partition(cells: Column, row: Column) -> Column:
 
     named = F.regexp_extract(cell(1), _CATEGORY_CELL, 1)
     has_named = cell(1).rlike(_CATEGORY_CELL)
-    review = strip_markup(cell(3))
+    def says(text: Column, word: str) -> Column:
+        # Blanks and entities cannot make or break the word, and tags need a look only where it occurs.
+        return text.contains(word) & F.regexp_replace(text, "<[^>]+>", " ").contains(word)
+
     found = F.struct(
         category(cell(0)).alias("bigCategory"),
         visible_zone(cell(0)).alias("bigZone"),
         F.when(has_named, strip_markup(named)).otherwise(category(cell(1))).alias("smallCategory"),
         visible_zone(cell(1)).alias("smallZone"),
-        strip_markup(cell(2)).contains(_YES).alias("isTop"),
-        (review.contains(_YES) & ~review.contains(_NOT_APPLICABLE)).alias("isReview"),
+        says(cell(2), _YES).alias("isTop"),
+        (says(cell(3), _YES) & ~says(cell(3), _NOT_APPLICABLE)).alias("isReview"),
     ).cast(schema.PARTITION)
     complete = (F.size(cells) == CELLS_NEEDED) & ~F.exists(cells, lambda c: c.isNull())
     empty = F.from_json(F.lit("{}"), schema.PARTITION)
