@@ -253,6 +253,25 @@ def test_sampling_law_and_round_trip(spark, odd):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def test_kept_lattices_are_bounded_and_change_no_sample(monkeypatch):
+    tables = pieces.Lattices(public_tokenizers.path(pieces.MODEL))
+    letters = np.random.default_rng(5).integers(97, 123, (180_000, 12), np.uint8)
+    words = [w.tobytes().decode() for w in letters]
+    flat = pieces.Flat(tables)
+    for i in range(0, len(words), 10_000):  # fewer than 200,000 words, but millions of arcs
+        flat.places([words[i:i + 10_000]])
+    assert sum(getattr(flat, name).nbytes for name in flat.used) < 150_000_000
+
+    texts, seeds = [" ".join(words[i:i + 40]) for i in range(0, 800, 20)] + ["", "a b"], list(range(42))
+    plain = pieces.sample_texts(pieces.Flat(tables), texts, seeds, 2)
+    monkeypatch.setattr(pieces, "WORD_BYTES", 50)
+    small = pieces.Flat(tables, 1)
+    single = [pieces.sample_texts(small, [t], [s], 2)[0] for t, s in zip(texts, seeds, strict=True)]
+    for (a, x), (b, y) in zip(plain, single, strict=True):
+        assert abs(x - y) < 1e-9 or x == y
+        assert [list(map(int, f[2])) for f in a] == [list(map(int, f[2])) for f in b]
+
+
 # --- 4 ---------------------------------------------------------------------------
 
 

@@ -37,8 +37,10 @@ SAMPLES, SHARPNESS = 2, 1.0
 DOMINANT = 0.2
 #: Draws of a text, beyond the paths wanted, before a search finds the rest.
 REJECTIONS = 64
-#: Words whose lattices a task keeps.
-CACHE_WORDS = 200_000
+#: Arcs of the lattices that a worker keeps, some 40 bytes each; a word has 25 in the mean.
+CACHE_ARCS = 2_000_000
+#: Bytes of new words whose lattices are built at once, and of texts drawn side by side.
+WORD_BYTES, TEXT_BYTES = 100_000, 250_000
 #: Pieces are found by the first bits of their hash.
 TABLE_BITS = 20
 MARK = "▁"
@@ -176,24 +178,33 @@ class Places(dict):
 class Flat:
     """The lattices of the words met so far as arrays, for drawing many paths step by step."""
 
-    def __init__(self, lattices: Lattices, keep: int = CACHE_WORDS):
+    def __init__(self, lattices: Lattices, keep: int = CACHE_ARCS):
         self.lattices, self.keep = lattices, keep
+        # The arrays have spare room at their ends; `used` tells how much of each is filled.
+        self.base, self.best = np.zeros(0, np.int32), np.zeros(0)
+        self.end, self.logp, self.cut = np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
+        self.start, self.size, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.first = np.zeros(1, np.int32)
         self.reset()
 
     def reset(self) -> None:
+        """Forget all words; arrays stay to be filled again, unless a huge text has blown them up."""
         self.place = Places()
-        # The arrays have spare room at their ends; `used` tells how much of each is filled.
-        self.base, self.best = np.zeros(0, np.int64), np.zeros(0)
-        self.end, self.logp, self.cut = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.first = np.zeros(1, np.int64)
         self.used = dict.fromkeys(("base", "best", "end", "logp", "cut", "start", "size", "ids"), 0) | {"first": 1}
+        for name, used in self.used.items():
+            array = getattr(self, name)
+            if len(array) > 4 * self.keep:
+                setattr(self, name, array[:used].copy())
 
     def append(self, name: str, new: np.ndarray) -> None:
         array, used = getattr(self, name), self.used[name]
         until = used + len(new)
+        if until > np.iinfo(np.int32).max:
+            raise ValueError("the words of one text have too many pieces")
         if until > len(array):
-            array = np.concatenate([array[:used], np.zeros(max(until, used * 3 // 2) - used, array.dtype)])
+            grown = np.zeros(max(until, used * 3 // 2), array.dtype)
+            grown[:used] = array[:used]
+            array = grown
             setattr(self, name, array)
         array[used:until] = new
         self.used[name] = until
@@ -261,12 +272,15 @@ class Flat:
             self.append(name, new)
 
     def places(self, split: list[list[str]]) -> list[np.ndarray]:
-        if len(self.place) > self.keep:
+        if self.used["end"] > self.keep:
             self.reset()
         found = [np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)) for words in split]
         if self.place.new:
-            self.add(self.place.new)
-            self.place.new = []
+            new, self.place.new = self.place.new, []
+            part = np.cumsum([len(w.encode()) for w in new]) // WORD_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(new)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                self.add(new[a:b])
         return found
 
     def draw(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -381,7 +395,7 @@ def sample_segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = _flat(path, sharpness)
-        for part in slices(batches, f"c{at_text}", 1_000_000):
+        for part in slices(batches, f"c{at_text}", TEXT_BYTES):
             texts = [t or "" for t in part.column(at_text).to_pylist()]
             seeds = [_seed(row_key, t) for row_key, t in zip(part.column(at_key).to_pylist(), texts, strict=True)]
             ids, counts, rows, numbers, decoded = [], [], [], [], []
